@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_names, materialise, shuffle_partitions, whole_text
+from lodestone.llm.common import free_names, map_arrow, materialise, shuffle_partitions, whole_text
 
 #: Runs that one node merges in a round.
 FAN_IN = 16
@@ -90,12 +90,13 @@ def merge_runs(entries: DataFrame, keep: str = "smallest", fan_in: int = FAN_IN)
         F.lit(1).cast("long").alias("n"),
     )
     order = ["node", *_KEY, *_first(keep)]
-    runs = runs.sortWithinPartitions(*order).mapInArrow(collapse, runs.schema)
+    runs = map_arrow(runs.sortWithinPartitions(*order), collapse, runs.schema)
     for r in range(rounds):
         unit = fan_in**r
         digit = lambda c: F.floor(F.col(c) / F.lit(unit)) % F.lit(fan_in)  # noqa: B023, E731
         runs = runs.withColumn("node", (F.col("node") + (digit("home") - digit("node")) * unit).cast("long"))
-        runs = runs.repartition(nodes, "node").sortWithinPartitions(*order).mapInArrow(collapse, runs.schema)
+        met = runs.repartition(nodes, "node").sortWithinPartitions(*order)
+        runs = map_arrow(met, collapse, runs.schema)
     return runs.drop("node", "home")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import group_ranks, materialise, whole_text
+from lodestone.llm.common import group_ranks, map_arrow, materialise, whole_text
 from lodestone.llm.packing_plan import plan
 
 #: Encoded words that a worker keeps; at most some 200 bytes each.
@@ -152,11 +152,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     pieces of equal length, which goes where is settled by the written row ids.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    pieces = texts.mapInArrow(piece_rows(tokenizer, capacity, end_id), _PIECES)
+    pieces = map_arrow(texts, piece_rows(tokenizer, capacity, end_id), _PIECES)
     pieces = materialise(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     hist = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plans = [plan(hist, capacity, groups, small) for small in SMALL]
     best = min(plans, key=lambda runs: max((r.seq + r.bins for r in runs), default=0))
     runs = np.array(sorted(best), np.int64).reshape(-1, 6)
     ranked = group_ranks(pieces, "length", "rid", "rank")
-    return ranked.mapInArrow(_places(runs), f"{_PIECES}, sequence_id long, offset long")
+    return map_arrow(ranked, _places(runs), f"{_PIECES}, sequence_id long, offset long")

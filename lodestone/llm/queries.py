@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, packing
+from lodestone.llm import exact_dedup, language_id, media, mixing, packing, pii, secrets, sharding, token_counts
 from lodestone.llm.common import documents
 
 _TOKENIZER = "byte_bpe_50k.json"
@@ -26,8 +26,47 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(documents(spark, sf_dir), key=spark.conf.get("lodestone.pii.key", "lodestone"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op6_hash_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_column(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_exact_dedup,
+        op3_pii_surrogates,
+        op4_secret_scan,
+        op5_token_counts,
+        op6_hash_ring_sharding,
+        op7_ogg_media,
+        op9_language_id,
+        op10_source_mixing,
+    )
 }
 
 ORACLES: dict[str, str] = {
