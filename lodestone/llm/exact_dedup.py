@@ -45,12 +45,10 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Holds one batch and one carried row, however long the stream is.
     """
     carry: pa.Table | None = None
-    schema = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        schema = batch.schema
-        table = pa.Table.from_batches([batch])
+        schema, table = batch.schema, pa.Table.from_batches([batch])
         if carry is not None:
             table = pa.concat_tables([carry, table])
         table = table.combine_chunks()
@@ -58,11 +56,11 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]).any(axis=1)])
         counts = np.add.reduceat(table["n"].to_numpy(), starts)
         merged = table.take(pa.array(starts))
-        merged = merged.set_column(merged.schema.get_field_index("n"), "n", pa.array(counts, pa.int64()))
+        merged = merged.set_column(merged.schema.get_field_index("n"), "n", pa.array(counts, pa.int64())).cast(schema)
         carry = merged.slice(merged.num_rows - 1)
-        yield from merged.slice(0, merged.num_rows - 1).cast(schema).to_batches()
+        yield from merged.slice(0, merged.num_rows - 1).to_batches()
     if carry is not None:
-        yield from carry.cast(schema).to_batches()
+        yield from carry.to_batches()
 
 
 def _first(keep: str) -> list[Column]:
