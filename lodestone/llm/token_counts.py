@@ -26,7 +26,7 @@ from lodestone.llm.common import map_arrow, whole_text
 
 MARK = "▁"  # fixed by the vocabulary: stands for a space
 #: Counts of distinct pre-tokens that a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: A pre-token beyond this length is counted and not stored.
 CACHE_CHARS = 200
 
