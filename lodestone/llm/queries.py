@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, language_id, media, mixing, packing, pii, secrets, sharding, token_counts
+from lodestone.llm import exact_dedup, language_id, media, mixing, ngram_jaccard, packing, pii, secrets, sharding, token_counts
 from lodestone.llm.common import documents
 
 _TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(documents(spark, sf_dir))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.linked_documents(documents(spark, sf_dir)).drop("rid")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_token_counts,
         op6_hash_ring_sharding,
         op7_ogg_media,
+        op8_ngram_jaccard,
         op9_language_id,
         op10_source_mixing,
     )
