@@ -263,7 +263,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stay = decided.select(
         F.coalesce("doc_id", F.lit(_NOBODY)).alias(key), (F.col("n_shingles") == 0).alias(empty)
     ).distinct()
-    words = F.regexp_replace(whole_text(), r"[\x20\x09-\x0D]+", "") != ""
+    words = whole_text().rlike(r"[^\x20\x09-\x0D]")
     marked = docs.withColumns({key: F.coalesce(docs["doc_id"].cast("long"), F.lit(_NOBODY)), empty: ~words})
     kept = marked.join(stay, [key, empty], "left_semi")
     return kept.where(~F.col(empty)).dropDuplicates([key]).unionByName(kept.where(empty)).select(*docs.columns)
