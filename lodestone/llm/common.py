@@ -1,10 +1,8 @@
-"""Shared pieces of the corpus operators: shared-folder tables and salted ranks."""
+"""Shared pieces of the corpus operators: workers' path, salted ranks, names."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -12,31 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.plans.lineage import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in local tests, a temporary folder is made and
-    set for the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and return the written table.
-
-    Later stages read the files, so a lost executor costs the tasks it ran and
-    never a second pass over the texts, and everything that was decided by task
-    (row ids, sampled order) is fixed from here on.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "free_names", "group_ranks", "map_arrow", "materialise", "shared_dir", "shuffle_partitions", "whole_text"]
 
 
 def map_arrow(df: DataFrame, rows: Callable, schema: StructType | str) -> DataFrame:
