@@ -119,8 +119,9 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> np.ndarray:
     """The log ratio log P(random) - log P(ordinary) of each character after two
     others, as a cube of float32."""
-    hashed = docs.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("h2"), "text")
-    rows = hashed.orderBy("h", "h2").limit(SAMPLE_ROWS).select("text")
+    marked = docs.select("text", F.xxhash64("doc_id").alias("h"), F.monotonically_increasing_id().alias("rid"))
+    chosen = marked.select("h", "rid").orderBy("h", "rid").limit(SAMPLE_ROWS).select("rid")  # short rows only
+    rows = marked.join(F.broadcast(chosen), "rid", "left_semi").select("text")
     strings = map_arrow(rows, _labelled, "string string, label int").distinct()
     found: dict[int, list[str]] = {}
     for label in (0, 1):
