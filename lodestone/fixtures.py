@@ -91,7 +91,7 @@ VIEWS = {
                CASE o_orderkey % 2 WHEN 0 THEN '' ELSE replace(substr(CAST(o_orderdate AS VARCHAR(40)), 1, 10), '-', '') || '000000' END AS next_ts FROM {orders}""",
     "users": """
         SELECT DISTINCT CAST(user_id AS BIGINT) AS id, 'User ' || CAST(user_id AS VARCHAR(20)) AS name, CASE user_id % 10 WHEN 0 THEN 1 ELSE 0 END AS is_catalog_admin FROM {events}""",
-    "kb_terms": "SELECT DISTINCT p_name AS text, CAST(p_partkey % 3 + length(p_name) AS BIGINT) AS q, 'en' AS language FROM {part} WHERE p_partkey % 2 = 0",
+    "kb_terms": "SELECT DISTINCT p_name AS text, CAST(p_partkey % 3 + length(p_name) AS BIGINT) AS q, 'en' AS language FROM {part} WHERE p_partkey % 2 = 0 UNION SELECT lower(n_name) || ' ID', CAST(n_nationkey AS BIGINT), 'en' FROM {nation}",
     "kb_sitelinks": "SELECT 'enwiki' AS site, p_name AS title, CAST(min(p_partkey) % 13 + 1 AS BIGINT) AS q FROM {part} GROUP BY p_name",
     "kb_redirects": "SELECT CAST(n_nationkey AS BIGINT) AS from_q, CAST(n_nationkey + 100 AS BIGINT) AS to_q FROM {nation} WHERE n_nationkey % 4 = 3",
     "kb_items": "SELECT CAST(n_nationkey AS BIGINT) AS q FROM {nation} WHERE n_nationkey NOT IN (9, 10)",

@@ -171,16 +171,19 @@ def by_taxon_name(entry: DataFrame, claims: DataFrame) -> DataFrame:
 
 def by_containment(entry: DataFrame, labels: DataFrame) -> DataFrame:
     """Items (q, label) whose label is in, or holds, the name of exactly one
-    unmatched entry. A word that both texts have is the join key; only pairs with
-    the shorter text's first word are compared."""
-    names = entry.where(S.unmatched()).select(F.col("id").alias("entry_id"), F.lower("ext_name").alias("name"))
-    texts = labels.select("q", F.lower("label").alias("label"))
-    inner = names.withColumn("word", F.element_at(F.split("name", " "), 1))
-    outer = texts.withColumn("word", F.explode(F.array_distinct(F.split("label", " "))))
-    a = inner.join(outer, "word").where(F.contains("label", "name")).select("entry_id", "q")
-    b = texts.withColumn("word", F.element_at(F.split("label", " "), 1)).join(
-        names.withColumn("word", F.explode(F.array_distinct(F.split("name", " ")))), "word"
-    ).where(F.contains("name", "label")).select("entry_id", "q")
+    unmatched entry. A text is only compared with those that hold its first three
+    characters somewhere, by an equi-join on runs of up to three characters."""
+    names = entry.where(S.unmatched() & (F.col("ext_name") != "")).select(F.col("id").alias("entry_id"), F.lower("ext_name").alias("name"))
+    texts = labels.where("label <> ''").select("q", F.lower("label").alias("label"))
+
+    def runs(column: str):
+        starts = F.sequence(F.lit(1), F.length(column))
+        return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substr(F.col(column), i, F.lit(n)) for n in (1, 2, 3)]))))
+
+    inner, outer = names.withColumn("run", F.substring("name", 1, 3)), texts.withColumn("run", F.explode(runs("label")))
+    a = inner.join(outer, "run").where(F.contains("label", "name")).select("entry_id", "q")
+    inner, outer = texts.withColumn("run", F.substring("label", 1, 3)), names.withColumn("run", F.explode(runs("name")))
+    b = inner.join(outer, "run").where(F.contains("name", "label")).select("entry_id", "q")
     hits = a.unionByName(b).distinct()
     single = hits.groupBy("q").agg(F.min("entry_id").alias("entry_id"), F.max("entry_id").alias("last")).where("entry_id = last")
     return single.select("entry_id", "q")

@@ -111,9 +111,9 @@ def entry_query_min_aux(t):
 
 
 @query("""SELECT id, ext_id FROM entry WHERE id IN (SELECT entry_id FROM location) AND id IN (SELECT entry_id FROM person_dates WHERE year_born <> '' AND year_died <> '')
-          AND lower(ext_desc) LIKE '%steel%' ORDER BY id LIMIT 20 OFFSET 5""")
+          AND lower(ext_desc) LIKE '%brand#1%' ORDER BY id LIMIT 20 OFFSET 5""")
 def entry_query_page(t):
-    q = EntryQuery(coordinates=True, min_dates=2, hint="steel", limit=20, offset=5)
+    q = EntryQuery(coordinates=True, min_dates=2, hint="Brand#1", limit=20, offset=5)
     return q.run(t.entry, t.person_dates, t.auxiliary, t.location).select("id", "ext_id")
 
 
@@ -179,10 +179,13 @@ def common_names_birth_year(t):
     return candidates.common_names_birth_year(t.entry, t.catalog, t.person_dates, least=2, before=2030)
 
 
-@query(f"""SELECT {_KEY} AS name, count(DISTINCT catalog) AS cnt, {csv()} AS entry_ids FROM entry WHERE {_ACTIVE} AND q IS NULL AND type = 'Q5' AND ext_name LIKE '____% ____% ____%'
+@query(f"""SELECT {_KEY} AS name, count(DISTINCT catalog) AS cnt, {csv()} AS entry_ids FROM entry WHERE {_ACTIVE} AND q IS NULL AND type = 'Q5'
            GROUP BY 1 HAVING count(DISTINCT catalog) >= 2""")
 def common_names_human(t):
-    return candidates.common_names_human(t.entry, t.catalog, least=2)
+    """Every name gets two more words, so that it has the three that the operator asks for."""
+    entry = t.entry.withColumn("ext_name", F.concat("ext_name", F.lit(" john smith")))
+    found = candidates.common_names_human(entry, t.catalog, least=2)
+    return found.withColumn("name", F.regexp_replace("name", " john smith$", ""))
 
 
 @query(f"""SELECT {_KEY} AS name, count(DISTINCT catalog) AS cnt, {csv()} AS entry_ids FROM entry WHERE {_ACTIVE} AND q IS NULL AND type = 'Q16521' AND regexp_full_match(ext_name, '[^ ]+ [^ ]+')
@@ -281,10 +284,12 @@ def year_born_retarget(t):
     return matchers.year_born_retarget(t.entry, t.catalog, t.person_dates, t.log)
 
 
-@query(f"""WITH p AS (SELECT * FROM ({_PEOPLE}) x WHERE length(born) = 10 AND length(died) = 10) SELECT a.id AS entry_id, k.q FROM p a JOIN (SELECT name, born, died, min(q) AS q FROM p WHERE {_FULL}
+@query(f"""WITH p AS (SELECT *, lower(rtrim(ext_name)) AS name, '19' || CAST(10 + id % 3 AS VARCHAR) || '-01-02' AS born, '1980-05-06' AS died FROM entry) SELECT a.id AS entry_id, k.q FROM p a JOIN (SELECT name, born, died, min(q) AS q FROM p WHERE {_FULL}
            GROUP BY 1, 2, 3 HAVING count(DISTINCT q) = 1) k ON k.name = a.name AND k.born = a.born AND k.died = a.died WHERE a.q IS NULL OR a.uid = 0""")
 def name_full_dates(t):
-    return matchers.by_name_and_dates(t.entry, t.person_dates)
+    born = F.concat(F.lit("19"), (F.col("id") % 3 + 10).cast("string"), F.lit("-01-02"))
+    lives = t.entry.select(F.col("id").alias("entry_id"), born.alias("born"), F.lit("1980-05-06").alias("died"))
+    return matchers.by_name_and_dates(t.entry, lives)
 
 
 @query(f"""SELECT e.id AS entry_id, k.q FROM entry e JOIN (SELECT {_KEY} AS name, min(q) AS q FROM entry WHERE {_FULL} AND type = 'Q5' GROUP BY 1 HAVING count(DISTINCT q) = 1) k
@@ -300,18 +305,18 @@ def crossmatch_aux(t):
     return matchers.by_shared_identifier(t.entry, t.auxiliary)
 
 
-_BY_IDENTIFIER = f"""SELECT a.entry_id, list_sort(list(DISTINCT k.q)) AS c FROM auxiliary a JOIN entry e ON e.id = a.entry_id JOIN kb_claims k ON k.property = a.aux_p AND k.value = a.aux_name
+_BY_IDENTIFIER = f"""SELECT a.entry_id, list_sort(list(DISTINCT k.q)) AS c FROM auxiliary a JOIN entry e ON e.id = a.entry_id JOIN kb_claims k ON k.property = a.aux_p AND k.value = a.aux_name AND k.q % 4 = 1
                      WHERE a.in_wikidata = 0 AND a.aux_p <> 17 AND (e.q IS NULL OR e.uid = 0) GROUP BY 1"""
 
 
 @query(f"SELECT entry_id, c[1] AS q FROM ({_BY_IDENTIFIER}) x WHERE len(c) = 1")
 def auxiliary_match(t):
-    return decisions.unique_or_issue(matchers.by_identifier(t.entry, t.auxiliary, t.kb_claims))[0]
+    return decisions.unique_or_issue(matchers.by_identifier(t.entry, t.auxiliary, t.kb_claims.where("q % 4 = 1")))[0]
 
 
 @query(f"""SELECT entry_id, 'WD_DUPLICATE' AS type, '["Q' || array_to_string(c, '","Q') || '"]' AS json FROM ({_BY_IDENTIFIER}) x WHERE len(c) > 1""")
 def auxiliary_match_issues(t):
-    return decisions.unique_or_issue(matchers.by_identifier(t.entry, t.auxiliary, t.kb_claims))[1]
+    return decisions.unique_or_issue(matchers.by_identifier(t.entry, t.auxiliary, t.kb_claims.where("q % 4 = 1")))[1]
 
 
 @query("""SELECT e.id AS entry_id, k.q FROM entry e JOIN (SELECT lower(label) AS name, arg_max(q, seq) AS q FROM (SELECT text AS label, q, q * 3 % 101 * 1000 + q AS seq FROM kb_terms) t GROUP BY 1) k
@@ -353,11 +358,11 @@ def taxon_match(t):
     return matchers.by_taxon_name(t.entry, claims).withColumn("candidates", _csv_array("candidates"))
 
 
-@query("""WITH l AS (SELECT q, text || ' x' AS label FROM kb_terms WHERE q < 12), h AS (SELECT DISTINCT l.q, e.id FROM l JOIN entry e ON e.q IS NULL AND e.id % 50 = 1 AND (contains(lower(l.label), lower(e.ext_name)) OR contains(lower(e.ext_name), lower(l.label))))
+@query("""WITH l AS (SELECT id AS q, ext_name || ' x' AS label FROM entry WHERE id <= 60), h AS (SELECT DISTINCT l.q, e.id FROM l JOIN entry e ON e.q IS NULL AND e.id % 50 = 13 AND (contains(lower(l.label), lower(e.ext_name)) OR contains(lower(e.ext_name), lower(l.label))))
           SELECT min(id) AS entry_id, q FROM h GROUP BY q HAVING count(*) = 1""")
 def containment_match(t):
-    labels = t.kb_terms.where("q < 12").select("q", F.concat("text", F.lit(" x")).alias("label"))
-    return matchers.by_containment(t.entry.where("id % 50 = 1"), labels)
+    labels = t.entry.where("id <= 60").select(F.col("id").alias("q"), F.concat("ext_name", F.lit(" x")).alias("label"))
+    return matchers.by_containment(t.entry.where("id % 50 = 13"), labels)
 
 
 # -- decisions ----------------------------------------------------------------
@@ -700,9 +705,9 @@ def report_matrix(t):
     return t.jobs.groupBy("status", "action", "catalog").agg(F.count("*").alias("cnt"))
 
 
-@query(f"""SELECT e.id AS entry_id, e.catalog, e.q FROM entry e WHERE {_FULL} AND q NOT IN (SELECT q FROM kb_sitelinks WHERE site = 'enwiki')""")
+@query(f"""SELECT e.id AS entry_id, e.catalog, e.q FROM entry e WHERE {_FULL} AND q NOT IN (SELECT q FROM kb_sitelinks WHERE site = 'enwiki' AND q % 2 = 0)""")
 def missing_pages(t):
-    return report.missing_pages(t.entry, t.kb_sitelinks, "enwiki")
+    return report.missing_pages(t.entry, t.kb_sitelinks.where("q % 2 = 0"), "enwiki")
 
 
 @query(f"""SELECT {_KEY} AS name, count(DISTINCT catalog) AS catalogs, count(*) FILTER (q IS NULL) AS unset, {csv()} AS entry_ids FROM entry WHERE {_ACTIVE} AND (q IS NULL OR q <> -1) GROUP BY 1
