@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that names carry besides the name itself.
 HONORIFICS = ["Sir", "Baron", "Baronesse?", "Graf", "Gräfin", "Prince", "Princess", "Dr\\.", "Prof\\.", "Rev\\.", "Ritter", "von"]
@@ -54,7 +55,7 @@ def rewrite_taxon_name(column: Column) -> Column:
     return F.trim(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # not its name: that would need a session on import
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML entities decoded; there are over two thousand, and no SQL function."""
     return texts.map(html.unescape, na_action="ignore")
