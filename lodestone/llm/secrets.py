@@ -101,7 +101,8 @@ def composed_identifiers(words: list[str], n: int, seed: int = 7) -> list[str]:
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of the patterns, label 1, and the other ASCII words, label 0."""
+    """Strings of the patterns, label 1, and the other ASCII words, label 0. A long
+    word has no label: it is what the models must judge."""
     for batch in batches:
         strings: dict[tuple[str, int], None] = {}
         for text in batch["text"].to_pylist():
@@ -110,7 +111,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = list(text)
             for start, _, end, _ in spans:
                 rest[start:end] = " " * (end - start)
-            strings |= {(w, 0): None for w in re.findall(r"[A-Za-z0-9+/_=-]{3,}", "".join(rest))}
+            words = re.findall(r"[A-Za-z0-9+/_=-]{3,}", "".join(rest))
+            strings |= {(w, 0): None for w in words if len(w) < LEAST}
         yield pa.RecordBatch.from_arrays(
             [pa.array([s for s, _ in strings], pa.string()), pa.array([k for _, k in strings], pa.int32())], ["string", "label"]
         )
