@@ -79,7 +79,7 @@ class TabularSource:
             for label, c in cells.items():
                 if label not in _PLAIN and label[0] == prefix:
                     k = F.lit(int(label[1:])).cast("long") if number else F.lit(label[1:])
-                    values = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda v: v != "")
+                    values = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda v: F.trim(v)), lambda v: v != "")
                     parts.append(F.transform(values, keyed(k, key, value)))
             kind = "long" if number else "string"
             return F.concat(*parts) if parts else F.array().cast(f"array<struct<{key}:{kind},{value}:string>>")
