@@ -61,23 +61,36 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, label for every vertex: label is the smallest id in its component.
-
-    edges: a long, b long, in any order, repeated or not. Partitions first shrink
-    their own edges to stars; large-star and small-star rounds (each vertex joined
-    with one number, no list of neighbours anywhere) then run until nothing
-    changes. Each round is written, so a lost executor costs no earlier one.
-    """
-    larger = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    now = materialise(map_arrow(larger.repartition("a"), _contract, _EDGES), "stars")
-    mark = None
+def _core(edges: DataFrame) -> DataFrame:
+    """Components of a graph (a, b), a > b, as edges (a, smallest member)."""
+    now, mark = materialise(edges, "stars"), None
     while True:
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (found["n"], found["h"]) == mark or found["n"] == 0:
-            break
+            return now
         mark = (found["n"], found["h"])
         now = materialise(_star(_star(now, False), True), "stars")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(
-        now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
-    )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, label for every vertex: label is the smallest id in its component.
+
+    edges: a long, b long, in any order, repeated or not. Partitions first shrink
+    their own edges to stars. Every vertex then hangs on its smallest neighbour,
+    and only neighbours that others hang on go into the rounds (large-star and
+    small-star until nothing changes; each vertex is joined with one number, no
+    list of neighbours anywhere): a vertex with thousands of neighbours takes part
+    as one. Each round is written, so a lost executor costs no earlier one.
+    """
+    larger = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    stars = materialise(map_arrow(larger.repartition("a"), _contract, _EDGES), "stars")
+    up = materialise(stars.groupBy("a").agg(F.min("b").alias("p")), "stars")
+    held = stars.select("b").distinct()
+    across = stars.join(up, "a").where("b <> p").select(F.col("b").alias("x"), F.col("p").alias("y"))
+    chained = up.join(held.withColumnRenamed("b", "a"), "a", "left_semi").select(F.col("a").alias("x"), F.col("p").alias("y"))
+    both = across.unionByName(chained).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    settled = _core(both)
+    label = settled.select(F.col("a").alias("p"), F.col("b").alias("label"))
+    of = lambda df: df.join(label, "p", "left").select("id", F.coalesce("label", "p").alias("label"))
+    hung = of(up.join(held.withColumnRenamed("b", "a"), "a", "left_anti").select(F.col("a").alias("id"), "p"))
+    return hung.unionByName(of(held.select(F.col("b").alias("id"), F.col("b").alias("p"))))
