@@ -39,19 +39,14 @@ LEAST, THRESHOLD = 16, 0.8
 
 # Ordinary words that identifiers are made of, whatever the corpus.
 WORDS = """
-about account action active address after again album all and another api array as author average back base before between binary block
-body book bool buffer build button byte cache call camel case category change char check child city class clear client close code color
-column command comment common config connection console content context control copy count country create current customer data date
-default delete description detail device direction display document domain double download edge email empty enable end entry error event
-example export false field file filter find first float font for format found from function general get global group handle hash header
-height hello house identifier image import index info input insert int item join kebab key label language large last left length level
-library line link list local long long main manager map market max member memory menu message method min mode model month move name
-network never next node normal note number object offset open option order other output owner page parent part path people person place
-point position post press price private process product project property public query range read record region remove report request
-result return right root row sample save schema search second select sender server service session set setting shape simple single size
-small some sort source space start state status step stop store stream street string style submit system table target task test text
-the there this thread time title total transfer tree true type under unit update upload url user value variable version very view water
-week when where width window with word work world write year zone
+account action active address and api array as author between binary block buffer button byte cache call case change char class client code
+color column command comment common config connection console content context control copy count create current customer data date default
+delete description detail display document domain download email empty enable end entry event example field file filter find first font for
+format found from function general get global group handle hash header identifier image import index int item key label language large last
+level line link list local manager map max message method min mode model month move name next node normal note number object open option
+order other owner page parent part path position post process product project property public query read record report request result
+return select server service session set setting size some sort source start state status step stop stream string system table target test
+text the this time title type unit update user value view width window word work world write year zone
 """.split()
 
 _SYMBOLS = 96  # printable ASCII without space, and one for the start
