@@ -187,3 +187,37 @@ def by_containment(entry: DataFrame, labels: DataFrame) -> DataFrame:
     hits = a.unionByName(b).distinct()
     single = hits.groupBy("q").agg(F.min("entry_id").alias("entry_id"), F.max("entry_id").alias("last")).where("entry_id = last")
     return single.select("entry_id", "q")
+
+
+def by_creator(entry: DataFrame, relation: DataFrame, claims: DataFrame, terms: DataFrame) -> DataFrame:
+    """entry_id, candidates: works of a matched creator (properties 50 and 170)
+    that have the entry's title, of more than one word, and claim this creator."""
+    makers = entry.where(S.full()).select(F.col("id").alias("target_entry_id"), F.concat(F.lit("Q"), F.col("q").cast("string")).alias("value"))
+    works = entry.where(S.unmatched() & F.col("ext_name").contains(" ")).select(F.col("id").alias("entry_id"), F.col("ext_name").alias("text"))
+    asked = relation.where("property IN (50, 170)").select("entry_id", "target_entry_id").distinct().join(makers, "target_entry_id").join(works, "entry_id")
+    known = claims.where("property IN (50, 170)").select("q", "value").distinct().join(terms.select("text", "q").distinct(), "q")
+    found = asked.join(known, ["text", "value"])
+    return found.groupBy("entry_id").agg(F.array_sort(F.collect_set("q")).alias("candidates"))
+
+
+def by_initials(entry: DataFrame, terms: DataFrame) -> DataFrame:
+    """entry_id, candidates: terms whose words begin with the initials of a name
+    like J. R. Doe and end with its last word. The last word and the first letter
+    are the join key, the other initials a pattern."""
+    people = entry.where(S.unmatched() & (F.col("type") == "Q5") & text.has_initials(F.col("ext_name")))
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    pattern = F.concat(F.lit("^"), F.regexp_replace("ext_name", "\\. *", "\\\\S* "), F.lit("$"))
+    names = people.select(F.col("id").alias("entry_id"), pattern.alias("rx"), last("ext_name").alias("last"), F.substring("ext_name", 1, 1).alias("first"))
+    known = terms.select("text", "q", last("text").alias("last"), F.substring("text", 1, 1).alias("first")).distinct()
+    hits = names.join(known, ["last", "first"]).where(F.rlike(F.col("text"), F.col("rx")))
+    return hits.groupBy("entry_id").agg(F.array_sort(F.collect_set("q")).alias("candidates"))
+
+
+def by_inventory_number(entry: DataFrame, auxiliary: DataFrame, claims: DataFrame) -> DataFrame:
+    """entry_id, candidates: items with the entry's inventory number (217) in its collection (195)."""
+    numbers = auxiliary.where("aux_p = 217").select("entry_id", F.col("aux_name").alias("number"))
+    places = auxiliary.where("aux_p = 195").select("entry_id", F.col("aux_name").alias("place"))
+    said = claims.where("property = 217").select("q", F.col("value").alias("number")).join(claims.where("property = 195").select("q", F.col("value").alias("place")), "q")
+    open_ = entry.where(S.not_full()).select(F.col("id").alias("entry_id"))
+    found = numbers.join(places, "entry_id").join(open_, "entry_id", "left_semi").join(said, ["number", "place"])
+    return found.groupBy("entry_id").agg(F.array_sort(F.collect_set("q")).alias("candidates"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone import semantics as S
 from lodestone.fixtures import Tables, prelude
 from lodestone.functions import dates, geo, text
-from lodestone.operators import candidates, decisions, maintenance, matchers, overview, report, store, sync, views
+from lodestone.operators import candidates, commands, decisions, maintenance, matchers, overview, report, store, sync, views
 from lodestone.plans.entry_query import Download, EntryQuery, Listing, Search
 from lodestone.sources import meta_entry, scraper
 from lodestone.streaming import feeds
@@ -365,6 +365,52 @@ def containment_match(t):
     return matchers.by_containment(t.entry.where("id % 50 = 13"), labels)
 
 
+_WORKS = "SELECT CAST(id + 1000 AS BIGINT) AS q, ext_name AS text, 'Q' || CAST(id % 13 + 1 AS VARCHAR(9)) AS value FROM entry WHERE id % 3 = 0"
+
+
+@query(f"""WITH w AS ({_WORKS}) SELECT e.id AS entry_id, array_to_string(list_sort(list(DISTINCT w.q)), ',') AS candidates FROM entry e JOIN mnm_relation r ON r.entry_id = e.id AND r.property IN (50, 170)
+           JOIN entry c ON c.id = r.target_entry_id AND c.q > 0 AND c.uid > 0 JOIN w ON w.text = e.ext_name AND w.value = 'Q' || CAST(c.q AS VARCHAR) WHERE e.q IS NULL AND e.ext_name LIKE '% %' GROUP BY 1""")
+def automatch_creations(t):
+    works = t.entry.where("id % 3 = 0").select((F.col("id") + 1000).alias("q"), F.col("ext_name").alias("text"), F.concat(F.lit("Q"), (F.col("id") % 13 + 1).cast("string")).alias("value"))
+    claims = works.select("q", F.lit(170).cast("long").alias("property"), "value")
+    return matchers.by_creator(t.entry, t.mnm_relation, claims, works.select("text", "q")).withColumn("candidates", _csv_array("candidates"))
+
+
+@query("""SELECT e.id AS entry_id, array_to_string(list_sort(list(DISTINCT k.q)), ',') AS candidates FROM entry e JOIN kb_terms k ON regexp_matches(upper(substr(k.text, 1, 1)) || substr(k.text, 2), '^' || upper(substr(e.ext_name, 1, 1)) || '[^ ]* ' || string_split(e.ext_name, ' ')[2] || '$')
+          WHERE e.q IS NULL AND e.type = 'Q5' GROUP BY 1""")
+def people_with_initials(t):
+    short = F.concat(F.upper(F.substring("ext_name", 1, 1)), F.lit(". "), F.element_at(F.split("ext_name", " "), 2))
+    terms = t.kb_terms.withColumn("text", F.concat(F.upper(F.substring("text", 1, 1)), F.substring("text", 2, 200)))
+    return matchers.by_initials(t.entry.withColumn("ext_name", short), terms).withColumn("candidates", _csv_array("candidates"))
+
+
+@query("""SELECT a.entry_id, array_to_string(list_sort(list(DISTINCT k.q)), ',') AS candidates FROM auxiliary a JOIN auxiliary b ON b.entry_id = a.entry_id AND b.aux_p = 227 JOIN entry e ON e.id = a.entry_id AND (e.q IS NULL OR e.uid = 0)
+          JOIN kb_claims k ON k.property = 214 AND k.value = a.aux_name JOIN kb_claims l ON l.property = 227 AND l.value = b.aux_name AND l.q = k.q WHERE a.aux_p = 214 GROUP BY 1""")
+def inventory_match(t):
+    """The identifiers 214 and 227 stand in for inventory number and collection."""
+    swap = lambda c: F.when(F.col(c) == 214, 217).when(F.col(c) == 227, 195).otherwise(0).cast("long")
+    found = matchers.by_inventory_number(t.entry, t.auxiliary.withColumn("aux_p", swap("aux_p")), t.kb_claims.withColumn("property", swap("property")))
+    return found.withColumn("candidates", _csv_array("candidates"))
+
+
+@query("""SELECT entry_id, max(lat) AS lat FROM (SELECT entry_id, lat FROM location WHERE entry_id NOT IN (SELECT id FROM entry WHERE id % 5 = 0) UNION ALL SELECT id, 2.0 FROM entry WHERE id % 5 = 0) x GROUP BY 1""")
+def script_commands(t):
+    """Two location commands for every fifth entry; the second counts."""
+    base = t.entry.where("id % 5 = 0").select(F.col("id").alias("entry_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), F.lit("setLocation").alias("kind"))
+    none = {c: F.lit(None).cast(k) for c, k in (("property", "long"), ("value", "string"), ("language", "string"), ("q", "long"), ("born", "string"), ("died", "string"))}
+    rows = base.withColumns({**none, "lat": F.col("seq").cast("double"), "lon": F.lit(0.0)})
+    tables = {"auxiliary": t.auxiliary, "location": t.location, "person_dates": t.person_dates, "aliases": t.aliases}
+    return commands.write(tables, rows)["location"].select("entry_id", "lat")
+
+
+@query(f"""SELECT l.entry_id, CAST(round({'2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(k.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(k.lat)) * pow(sin(radians(k.lon - l.lon) / 2), 2), 1.0)))'}) AS BIGINT) AS metres
+           FROM location l JOIN entry e ON e.id = l.entry_id AND e.q > 0 JOIN (SELECT CAST(n_nationkey AS BIGINT) AS q, CAST(n_nationkey * 3 - 30 AS DOUBLE) AS lat, CAST(n_nationkey * 11 - 90 AS DOUBLE) AS lon FROM nation) k ON k.q = e.q""")
+def quick_compare_distance(t):
+    places = t.driver("nation").select(F.col("n_nationkey").cast("long").alias("q"), (F.col("n_nationkey") * 3 - 30).cast("double").alias("lat2"), (F.col("n_nationkey") * 11 - 90).cast("double").alias("lon2"))
+    rows = t.location.join(t.entry.where("q > 0").select(F.col("id").alias("entry_id"), "q"), "entry_id").join(places, "q")
+    return rows.select("entry_id", F.round(geo.metres(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).cast("long").alias("metres"))
+
+
 # -- decisions ----------------------------------------------------------------
 
 _DECIDE = "SELECT id AS entry_id, id % 17 + 1 AS q, CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 9 END AS uid FROM entry"
