@@ -6,10 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DATE = "^(-?[0-9]+)(?:-([0-9]{1,2}))?(?:-([0-9]{1,2}))?$"
-# Month names by their first three letters, in several languages.
-MONTHS = {
-    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
-    "mär": 3, "mai": 5, "okt": 10, "dez": 12, "fév": 2, "avr": 4, "jui": 6, "aoû": 8, "déc": 12, "ene": 1, "abr": 4, "ago": 8, "dic": 12,
+# Months by the first three letters of their names, and by whole
+# names where these don't tell.
+PREFIXES = {
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "avr": 4, "may": 5, "mai": 5, "mei": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "okt": 10,
+    "nov": 11, "dec": 12, "dez": 12, "dic": 12,
+}
+NAMES = {
+    1: "enero janvier gennaio januari janeiro", 2: "febrero février fevrier febbraio februari fevereiro", 3: "marzo mars märz maerz maart março marco",
+    4: "abril avril aprile", 5: "mayo maggio maio mag", 6: "junio juin giugno juni junho", 7: "julio juillet luglio juli julho",
+    8: "agosto août aout augustus", 9: "septiembre septembre settembre september setembro", 10: "octubre octobre ottobre oktober outubro",
+    11: "noviembre novembre november novembro", 12: "diciembre décembre decembre dicembre dezember dezembro",
 }
 
 
@@ -54,29 +61,52 @@ def sane_year(column: Column, this_year: int) -> Column:
     return F.when(y.between(0, this_year), y)
 
 
+def _lookup(table: dict[str, int], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
 def month_number(column: Column) -> Column:
-    pairs = [F.lit(x) for kv in MONTHS.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), F.lower(F.substring(column, 1, 3)))
+    name = F.lower(column)
+    whole = {w: k for k, words in NAMES.items() for w in words.split()}
+    return F.coalesce(_lookup(PREFIXES, F.substring(name, 1, 3)), _lookup(whole, name))
+
+
+def month_code(column: Column) -> Column:
+    """The English three-letter name of a month in any language; else unchanged."""
+    names = F.array(*[F.lit(x) for x in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
+    return F.coalesce(F.get(names, month_number(F.trim(column)) - 1), F.lower(F.trim(column)))
 
 
 def parse_text(column: Column) -> Column:
-    """Day, month and year in the usual spellings as a canonical date; else unchanged."""
-    pad = lambda c: F.lpad(c.cast("string"), 2, "0")
+    """A year, d.m.y, m.y, or day, month name and year in either order as a
+    canonical date; else unchanged but for blanks at the ends."""
+    pad = lambda c, n=2: F.lpad(c.cast("string"), n, "0")
     text = F.trim(column)
-    dmy, my = "^([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{3,4})$", "^([0-9]{1,2})[./]([0-9]{3,4})$"
-    d_month_y, month_d_y, month_y = "^([0-9]{1,2})\\.? (\\p{L}+)\\.? ([0-9]{3,4})$", "^(\\p{L}+)\\.? ([0-9]{1,2}), ?([0-9]{3,4})$", "^(\\p{L}+)\\.? ([0-9]{3,4})$"
+    dmy, my = "^([0-9]{1,2})\\.\\s*([0-9]{1,2})\\.\\s*([0-9]{3,4})$", "^([0-9]{1,2})\\.\\s*([0-9]{3,4})$"
     g = lambda p, k: F.regexp_extract(text, p, k)
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[,.\\s]+", " ")), " ")
+    a, b, c = (F.get(words, F.lit(k)) for k in range(3))
+    day = lambda w: F.when(w.rlike("^[0-9]{1,2}$") & w.try_cast("int").between(1, 31), w)
+    year_ = lambda w: F.when(w.rlike("^[0-9]{1,4}$"), w)
+    natural = F.coalesce(
+        _joined(pad(year_(c), 4), pad(month_number(b)), pad(day(a))),
+        _joined(pad(year_(c), 4), pad(month_number(a)), pad(day(b))),
+        F.when(F.size(words) == 2, _joined(pad(year_(b), 4), pad(month_number(a)))),
+    )
     return (
-        F.when(text.rlike("^[0-9]{3,4}$"), text)
-        .when(text.rlike(dmy), F.concat_ws("-", g(dmy, 3), pad(g(dmy, 2)), pad(g(dmy, 1))))
-        .when(text.rlike(my), F.concat_ws("-", g(my, 2), pad(g(my, 1))))
-        .when(text.rlike(d_month_y) & month_number(g(d_month_y, 2)).isNotNull(), F.concat_ws("-", g(d_month_y, 3), pad(month_number(g(d_month_y, 2))), pad(g(d_month_y, 1))))
-        .when(text.rlike(month_d_y) & month_number(g(month_d_y, 1)).isNotNull(), F.concat_ws("-", g(month_d_y, 3), pad(month_number(g(month_d_y, 1))), pad(g(month_d_y, 2))))
-        .when(text.rlike(month_y) & month_number(g(month_y, 1)).isNotNull(), F.concat_ws("-", g(month_y, 2), pad(month_number(g(month_y, 1)))))
-        .otherwise(column)
+        F.when(text.rlike("^[0-9]{1,4}$"), pad(text, 4))
+        .when(text.rlike(dmy), _joined(pad(g(dmy, 3), 4), pad(g(dmy, 2)), pad(g(dmy, 1))))
+        .when(text.rlike(my), _joined(pad(g(my, 2), 4), pad(g(my, 1))))
+        .otherwise(F.coalesce(natural, text))
     )
 
 
+def _joined(*parts: Column) -> Column:
+    """Null if a part is."""
+    dashed = [x for p in parts for x in (F.lit("-"), p)][1:]
+    return F.concat(*dashed)
+
+
 def plausible_life(born: Column, died: Column) -> Column:
     """No equal years, no death before birth, at most 120 years, none after 2050."""
     b, d = year(born).try_cast("int"), year(died).try_cast("int")

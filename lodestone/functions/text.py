@@ -10,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Words that names carry besides the name itself.
-HONORIFICS = ["Sir", "Baron", "Baronesse?", "Graf", "Gräfin", "Prince", "Princess", "Dr\\.", "Prof\\.", "Rev\\.", "Ritter", "von"]
-SUFFIXES = ["Jr\\.?", "Sr\\.?", "Ph\\.?D\\.?", "M\\.?D\\.?"]
+# What names carry besides the name itself.
+HONORIFICS = "Sir|Mme|Dr|Mother|Father"
+TITLES = "Sir|Baron|Baronesse?|Graf|Gräfin|Prince|Princess|Dr\\.|Prof\\.|Rev\\."
+SUFFIXES = "Jr\\.?|Sr\\.?|PhD\\.?|MD|M\\.D\\."
+NOBILITY = "Ritter|Freiherr"
 
 
 def replace_all(column: Column, rules: list[tuple[str, str]]) -> Column:
@@ -25,22 +27,15 @@ def squeeze(column: Column) -> Column:
 
 def sanitize_name(column: Column) -> Column:
     """Without form of address, initials before a slash, ampersands and brackets."""
-    rules = [("^(Sir|Mme|Dr|Mother|Father)\\.? ", " "), ("[A-Z]\\. /", " "), (" & ", " "), ("\\(.*?\\)", " ")]
-    return squeeze(replace_all(column, rules))
+    return squeeze(replace_all(column, [(f"^({HONORIFICS})\\.? ", " "), ("\\b[A-Z]\\. /", " "), (" & ", " "), ("\\(.+?\\)", " ")]))
 
 
 def simplify_name(column: Column) -> Column:
-    """First and last word of a person's name, without titles and suffixes."""
-    rules = [
-        ("\\s*\\(.*?\\)\\s*", " "),
-        (f"[, ]+(?:{'|'.join(SUFFIXES)})\\s*$", ""),
-        (f"^(?:(?:{'|'.join(HONORIFICS)})\\s+)+", ""),
-        ("^(\\S+) .*?(\\S+)$", "$1 $2"),
-    ]
-    done = column
-    for pattern, new in rules:
-        done = F.trim(F.regexp_replace(done, pattern, new))
-    return done
+    """First and last word of a person's name, without titles and suffixes. Titles
+    that follow each other go in one match."""
+    bare = replace_all(column, [("\\s*\\(.*?\\)\\s*", " "), (f"[, ]+({SUFFIXES})$", " "), (f"\\s*({NOBILITY})\\s+", " ")])
+    untitled = F.trim(F.regexp_replace(squeeze(bare), f"^(?:(?:{TITLES})\\s+)+", ""))
+    return F.trim(F.regexp_replace(untitled, "^(\\S+) .*?(\\S+)$", "$1 $2"))
 
 
 def has_initials(column: Column) -> Column:
@@ -48,11 +43,15 @@ def has_initials(column: Column) -> Column:
 
 
 def rewrite_taxon_name(column: Column) -> Column:
-    """One spelling for subspecies, varieties and hybrids."""
-    out = column
-    for old, new in ((" ssp. ", " subsp. "), (" ssp ", " subsp. "), (" subsp ", " subsp. "), (" var ", " var. "), ("×", "x")):
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(out)
+    """One spelling for subspecies and varieties; a hybrid's sign joins its name."""
+    out = F.regexp_replace(F.replace(column, F.lit(" ssp. "), F.lit(" subsp. ")), "^× ", "×")
+    return F.replace(F.replace(out, F.lit(" subsp "), F.lit(" subsp. ")), F.lit(" var "), F.lit(" var. "))
+
+
+def safe_url(column: Column) -> Column:
+    """Characters that a URL can't hold, percent-encoded; the others stay."""
+    unsafe = [chr(c) for c in (*range(32), 127)] + list(' "<>[\\]^`{|}')
+    return reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(f"%{ord(x):02X}")), unsafe, column)
 
 
 @F.pandas_udf(StringType())  # not its name: that would need a session on import

@@ -10,7 +10,7 @@ from lodestone.functions import text
 from lodestone.operators.candidates import AUTHORITIES, active
 
 #: Classes whose items never are the thing itself, as P31 values.
-META_CLASSES = ("Q4167410", "Q11266439", "Q4167836", "Q13406463", "Q22808320")
+META_CLASSES = ("Q4167410", "Q11266439", "Q4167836", "Q13406463", "Q22808320", "Q17362920")
 
 
 def removed_before(log: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def missing_claims(entry: DataFrame, catalog: DataFrame, claims: DataFrame) -> D
     return entry.join(todo, "id", "left_semi").join(own, "catalog").select(F.col("id").alias("entry_id"), "q", F.col("wd_prop").alias("property"), F.col("ext_id").alias("value"))
 
 
-def aux_commands(entry: DataFrame, auxiliary: DataFrame, claims: DataFrame, denied: tuple[int, ...] = (233, 235, 846)) -> DataFrame:
+def aux_commands(entry: DataFrame, auxiliary: DataFrame, claims: DataFrame, denied: tuple[int, ...] = (233, 235, 846, 2528, 4511)) -> DataFrame:
     """entry_id, q, property, value, action for the identifiers of full matches
     that aren't noted as known: `flag` where the item has this value, `mismatch`
     where another item has it, `multiple` where several have, else `add`, unless

@@ -241,7 +241,7 @@ def description_rules(t):
 
 # -- matchers -----------------------------------------------------------------
 
-_META = "SELECT q FROM kb_claims WHERE property = 31 AND value IN ('Q4167410', 'Q11266439', 'Q4167836', 'Q13406463', 'Q22808320')"
+_META = "SELECT q FROM kb_claims WHERE property = 31 AND value IN ('Q4167410', 'Q11266439', 'Q4167836', 'Q13406463', 'Q22808320', 'Q17362920')"
 
 
 @query(f"""SELECT id AS entry_id, array_to_string(list_sort(list(DISTINCT k.q)), ',') AS candidates FROM (SELECT id, ext_name AS text FROM entry WHERE q IS NULL

@@ -69,4 +69,5 @@ def name_key(column: Column) -> Column:
 
 
 def entry_type(column: Column) -> Column:
-    return F.when(F.lower(column) == "person", "Q5").when(column == "q5", "Q5").when(column.rlike("^Q[0-9]+$"), column).otherwise("")
+    kind = F.trim(column)
+    return F.when(F.lower(kind) == "person", "Q5").when(kind.rlike("^[Qq][0-9]+$"), F.upper(kind)).otherwise("")

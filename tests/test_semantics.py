@@ -49,8 +49,8 @@ def test_names(spark):
 def test_text(spark):
     assert column(spark, text.clean_html, "<p>a&nbsp;&amp; <b>b</b></p>", None, "x") == ["a & b", None, "x"]
     assert column(spark, text.description_check, ("born 1900, died 1950", "1950 or 1900"), ("born 1900", "1901"), ("no", "number"), ("a", "a")) == [True, False, False, True]
-    assert column(spark, S.entry_type, "person", "q5", "Q5", "Q12", "thing", "") == ["Q5", "Q5", "Q5", "Q12", "", ""]
-    assert column(spark, text.rewrite_taxon_name, "Aus bus ssp. cus", "Aus × bus", "Aus bus") == ["Aus bus subsp. cus", "Aus x bus", "Aus bus"]
+    assert column(spark, S.entry_type, "Person ", "q5", "Q5", "q12", "thing", "") == ["Q5", "Q5", "Q5", "Q12", "", ""]
+    assert column(spark, text.rewrite_taxon_name, "Aus bus ssp. cus", "× Aus bus", "Aus var bus") == ["Aus bus subsp. cus", "×Aus bus", "Aus var. bus"]
     assert column(spark, text.scrub_cell, "a\tb\r\nc d", None) == ["a b  c d", ""]
     assert column(spark, text.formatter_to_regex, "http://x.org/a?id=$1") == ["^https?://x\\.org/a\\?id=(.+?)$"]
 
@@ -60,7 +60,9 @@ def test_dates(spark):
     assert column(spark, lambda c: dates.parse(c).isNull(), "1920-13", "1920-01-32", "x", "", "1920-02-31") == [True, True, True, True, False]
     assert column(spark, dates.precision, "1920", "1920-03", "1920-03-07", "no") == [9, 10, 11, None]
     assert column(spark, dates.wire_time, "1920", "1920-03", "-500-01-02") == ["+1920-00-00T00:00:00Z", "+1920-03-00T00:00:00Z", "-500-01-02T00:00:00Z"]
-    assert column(spark, dates.parse_text, "1900", "7.3.1920", "3/1920", "7 March 1920", "März 1920", "May 7, 1920", "some day") == ["1900", "1920-03-07", "1920-03", "1920-03-07", "1920-03", "1920-05-07", "some day"]
+    assert column(spark, dates.parse_text, "1900", "7.3.1920", "3. 1920", "7 March 1920", "März 1920", "May 7, 1920", " some day", "15 août 900") == ["1900", "1920-03-07", "1920-03", "1920-03-07", "1920-03", "1920-05-07", "some day", "0900-08-15"]
+    assert column(spark, dates.month_code, "Gennaio", "okt", "x") == ["jan", "oct", "x"]
+    assert column(spark, text.safe_url, "http://x/a b|c%20[d]") == ["http://x/a%20b%7Cc%20%5Bd%5D"]
     assert column(spark, dates.plausible_life, ("1900", "1950"), ("1950", "1900"), ("1900", "1900"), ("1800", "1950"), ("2060", ""), ("1900", "")) == [True, False, False, False, False, True]
 
 
