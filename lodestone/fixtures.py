@@ -92,11 +92,11 @@ VIEWS = {
     "users": """
         SELECT DISTINCT CAST(user_id AS BIGINT) AS id, 'User ' || CAST(user_id AS VARCHAR(20)) AS name, CASE user_id % 10 WHEN 0 THEN 1 ELSE 0 END AS is_catalog_admin FROM {events}""",
     "kb_terms": "SELECT DISTINCT p_name AS text, CAST(p_partkey % 3 + length(p_name) AS BIGINT) AS q, 'en' AS language FROM {part} WHERE p_partkey % 2 = 0 UNION SELECT lower(n_name) || ' ID', CAST(n_nationkey AS BIGINT), 'en' FROM {nation}",
-    "kb_sitelinks": "SELECT 'enwiki' AS site, p_name AS title, CAST(min(p_partkey) % 13 + 1 AS BIGINT) AS q FROM {part} GROUP BY p_name",
+    "kb_sitelinks": "SELECT 'enwiki' AS site, p_name AS title, CAST(min(p_partkey) % 7 + 1 AS BIGINT) AS q FROM {part} GROUP BY p_name",
     "kb_redirects": "SELECT CAST(n_nationkey AS BIGINT) AS from_q, CAST(n_nationkey + 100 AS BIGINT) AS to_q FROM {nation} WHERE n_nationkey % 4 = 3",
     "kb_items": "SELECT CAST(n_nationkey AS BIGINT) AS q FROM {nation} WHERE n_nationkey NOT IN (9, 10)",
     "kb_claims": """
-        SELECT DISTINCT CAST(l_partkey % 13 + 1 AS BIGINT) AS q,
+        SELECT DISTINCT CAST(CASE WHEN l_linenumber % 5 <> 4 AND l_suppkey % 40 < 30 THEN l_partkey % 50 % 13 + 1 ELSE l_partkey % 13 + 1 END AS BIGINT) AS q,
                CAST(CASE l_linenumber % 5 WHEN 0 THEN 214 WHEN 1 THEN 227 WHEN 2 THEN 1207 WHEN 3 THEN 1273 ELSE 212 + l_partkey % 5 END AS BIGINT) AS property,
                CASE l_linenumber % 5 WHEN 4 THEN 'P' || CAST(l_partkey AS VARCHAR(20)) ELSE 'A' || CAST(l_suppkey % 40 AS VARCHAR(20)) || '-' || CAST(l_partkey % 50 AS VARCHAR(20)) END AS value
         FROM {lineitem} WHERE l_partkey % 3 = 0 UNION

@@ -305,18 +305,18 @@ def crossmatch_aux(t):
     return matchers.by_shared_identifier(t.entry, t.auxiliary)
 
 
-_BY_IDENTIFIER = f"""SELECT a.entry_id, list_sort(list(DISTINCT k.q)) AS c FROM auxiliary a JOIN entry e ON e.id = a.entry_id JOIN kb_claims k ON k.property = a.aux_p AND k.value = a.aux_name AND k.q % 4 = 1
+_BY_IDENTIFIER = f"""SELECT a.entry_id, list_sort(list(DISTINCT k.q)) AS c FROM auxiliary a JOIN entry e ON e.id = a.entry_id JOIN kb_claims k ON k.property = a.aux_p AND k.value = a.aux_name
                      WHERE a.in_wikidata = 0 AND a.aux_p <> 17 AND (e.q IS NULL OR e.uid = 0) GROUP BY 1"""
 
 
 @query(f"SELECT entry_id, c[1] AS q FROM ({_BY_IDENTIFIER}) x WHERE len(c) = 1")
 def auxiliary_match(t):
-    return decisions.unique_or_issue(matchers.by_identifier(t.entry, t.auxiliary, t.kb_claims.where("q % 4 = 1")))[0]
+    return decisions.unique_or_issue(matchers.by_identifier(t.entry, t.auxiliary, t.kb_claims))[0]
 
 
 @query(f"""SELECT entry_id, 'WD_DUPLICATE' AS type, '["Q' || array_to_string(c, '","Q') || '"]' AS json FROM ({_BY_IDENTIFIER}) x WHERE len(c) > 1""")
 def auxiliary_match_issues(t):
-    return decisions.unique_or_issue(matchers.by_identifier(t.entry, t.auxiliary, t.kb_claims.where("q % 4 = 1")))[1]
+    return decisions.unique_or_issue(matchers.by_identifier(t.entry, t.auxiliary, t.kb_claims))[1]
 
 
 @query("""SELECT e.id AS entry_id, k.q FROM entry e JOIN (SELECT lower(label) AS name, arg_max(q, seq) AS q FROM (SELECT text AS label, q, q * 3 % 101 * 1000 + q AS seq FROM kb_terms) t GROUP BY 1) k
@@ -358,20 +358,20 @@ def taxon_match(t):
     return matchers.by_taxon_name(t.entry, claims).withColumn("candidates", _csv_array("candidates"))
 
 
-@query("""WITH l AS (SELECT id AS q, ext_name || ' x' AS label FROM entry WHERE id <= 60), h AS (SELECT DISTINCT l.q, e.id FROM l JOIN entry e ON e.q IS NULL AND e.id % 50 = 13 AND (contains(lower(l.label), lower(e.ext_name)) OR contains(lower(e.ext_name), lower(l.label))))
+@query("""WITH n AS (SELECT id, q IS NULL AS open, CAST(id AS VARCHAR) || '. ' || ext_name AS name FROM entry), h AS (SELECT DISTINCT l.id AS q, e.id FROM n l JOIN n e ON e.open AND contains('see ' || l.name, e.name))
           SELECT min(id) AS entry_id, q FROM h GROUP BY q HAVING count(*) = 1""")
 def containment_match(t):
-    labels = t.entry.where("id <= 60").select(F.col("id").alias("q"), F.concat("ext_name", F.lit(" x")).alias("label"))
-    return matchers.by_containment(t.entry.where("id % 50 = 13"), labels)
+    named = t.entry.withColumn("ext_name", F.concat(F.col("id").cast("string"), F.lit(". "), "ext_name"))
+    return matchers.by_containment(named, named.select(F.col("id").alias("q"), F.concat(F.lit("see "), "ext_name").alias("label")))
 
 
-_WORKS = "SELECT CAST(id + 1000 AS BIGINT) AS q, ext_name AS text, 'Q' || CAST(id % 13 + 1 AS VARCHAR(9)) AS value FROM entry WHERE id % 3 = 0"
+_WORKS = "SELECT CAST(id + 1000 AS BIGINT) AS q, ext_name AS text, 'Q' || CAST(id % 13 + 1 AS VARCHAR(9)) AS value FROM entry"
 
 
 @query(f"""WITH w AS ({_WORKS}) SELECT e.id AS entry_id, array_to_string(list_sort(list(DISTINCT w.q)), ',') AS candidates FROM entry e JOIN mnm_relation r ON r.entry_id = e.id AND r.property IN (50, 170)
            JOIN entry c ON c.id = r.target_entry_id AND c.q > 0 AND c.uid > 0 JOIN w ON w.text = e.ext_name AND w.value = 'Q' || CAST(c.q AS VARCHAR) WHERE e.q IS NULL AND e.ext_name LIKE '% %' GROUP BY 1""")
 def automatch_creations(t):
-    works = t.entry.where("id % 3 = 0").select((F.col("id") + 1000).alias("q"), F.col("ext_name").alias("text"), F.concat(F.lit("Q"), (F.col("id") % 13 + 1).cast("string")).alias("value"))
+    works = t.entry.select((F.col("id") + 1000).alias("q"), F.col("ext_name").alias("text"), F.concat(F.lit("Q"), (F.col("id") % 13 + 1).cast("string")).alias("value"))
     claims = works.select("q", F.lit(170).cast("long").alias("property"), "value")
     return matchers.by_creator(t.entry, t.mnm_relation, claims, works.select("text", "q")).withColumn("candidates", _csv_array("candidates"))
 
@@ -393,10 +393,10 @@ def inventory_match(t):
     return found.withColumn("candidates", _csv_array("candidates"))
 
 
-@query("""SELECT entry_id, max(lat) AS lat FROM (SELECT entry_id, lat FROM location WHERE entry_id NOT IN (SELECT id FROM entry WHERE id % 5 = 0) UNION ALL SELECT id, 2.0 FROM entry WHERE id % 5 = 0) x GROUP BY 1""")
+@query("""SELECT entry_id, max(lat) AS lat FROM (SELECT entry_id, lat FROM location WHERE entry_id NOT IN (SELECT id FROM entry WHERE type = 'Q5') UNION ALL SELECT id, 2.0 FROM entry WHERE type = 'Q5') x GROUP BY 1""")
 def script_commands(t):
-    """Two location commands for every fifth entry; the second counts."""
-    base = t.entry.where("id % 5 = 0").select(F.col("id").alias("entry_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), F.lit("setLocation").alias("kind"))
+    """Two location commands for every person; the second counts."""
+    base = t.entry.where("type = 'Q5'").select(F.col("id").alias("entry_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), F.lit("setLocation").alias("kind"))
     none = {c: F.lit(None).cast(k) for c, k in (("property", "long"), ("value", "string"), ("language", "string"), ("q", "long"), ("born", "string"), ("died", "string"))}
     rows = base.withColumns({**none, "lat": F.col("seq").cast("double"), "lon": F.lit(0.0)})
     tables = {"auxiliary": t.auxiliary, "location": t.location, "person_dates": t.person_dates, "aliases": t.aliases}
@@ -621,21 +621,21 @@ def propagate_matched(t):
     return maintenance.propagate_matched(t.auxiliary, t.entry, "entry_is_matched").select("id", "entry_is_matched")
 
 
-@query("SELECT id FROM entry WHERE id % 3 <> 0")
+@query("SELECT id FROM entry WHERE q IS NOT NULL")
 def cascade_delete(t):
-    gone = t.entry.where("id % 3 = 0").select(F.col("id").alias("entry_id"))
+    gone = t.entry.where("q IS NULL").select(F.col("id").alias("entry_id"))
     return store.cascade({"entry": t.entry, "auxiliary": t.auxiliary}, gone)["entry"].select("id")
 
 
-@query("""SELECT entry_id, language, label FROM aliases UNION SELECT id, 'en', ext_name FROM entry e WHERE id <= 50 AND NOT EXISTS (SELECT 1 FROM aliases a WHERE a.entry_id = e.id AND a.language = 'en' AND a.label = e.ext_name)""")
+@query("""SELECT entry_id, language, label FROM aliases UNION SELECT id, 'en', ext_name FROM entry e WHERE NOT EXISTS (SELECT 1 FROM aliases a WHERE a.entry_id = e.id AND a.language = 'en' AND a.label = e.ext_name)""")
 def add_aliases(t):
-    new = t.entry.where("id <= 50").select(F.col("id").alias("entry_id"), F.lit("en").alias("language"), F.col("ext_name").alias("label"), F.lit(1).alias("added_by_user"))
+    new = t.entry.select(F.col("id").alias("entry_id"), F.lit("en").alias("language"), F.col("ext_name").alias("label"), F.lit(1).alias("added_by_user"))
     return store.insert_ignore(t.aliases, new, ["entry_id", "language", "label"]).select("entry_id", "language", "label").distinct()
 
 
-@query("""SELECT entry_id, lat, lon FROM location WHERE entry_id % 4 <> 0 UNION ALL SELECT entry_id, lon, lat FROM location WHERE entry_id % 4 = 0""")
+@query("""SELECT entry_id, lat, lon FROM location WHERE lat >= 0 UNION ALL SELECT entry_id, lon, lat FROM location WHERE lat < 0""")
 def set_locations(t):
-    new = t.location.where("entry_id % 4 = 0").select("entry_id", F.col("lon").alias("lat"), F.col("lat").alias("lon"))
+    new = t.location.where("lat < 0").select("entry_id", F.col("lon").alias("lat"), F.col("lat").alias("lon"))
     return store.upsert(t.location, new, ["entry_id"])
 
 
@@ -707,10 +707,10 @@ def location_bbox(t):
 _METRES = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0)))"
 
 
-@query(f"""SELECT a.entry_id AS id, b.entry_id AS other_id, CAST(round({_METRES} / 1000) AS BIGINT) AS km FROM location a, location b WHERE a.entry_id % 40 = 0 AND {_METRES} <= 400000""")
+@query(f"""SELECT a.entry_id AS id, b.entry_id AS other_id, CAST(round({_METRES} / 1000) AS BIGINT) AS km FROM location a, location b WHERE {_METRES} <= 150000""")
 def spatial_radius_join(t):
-    points = t.location.where("entry_id % 40 = 0").select(F.col("entry_id").alias("id"), "lat", "lon")
-    found = geo.within(points, t.location.withColumnRenamed("entry_id", "other_id"), 400_000)
+    points = t.location.select(F.col("entry_id").alias("id"), "lat", "lon")
+    found = geo.within(points, t.location.withColumnRenamed("entry_id", "other_id"), 150_000)
     return found.select("id", "other_id", F.round(F.col("metres") / 1000).cast("long").alias("km"))
 
 
@@ -751,9 +751,9 @@ def report_matrix(t):
     return t.jobs.groupBy("status", "action", "catalog").agg(F.count("*").alias("cnt"))
 
 
-@query(f"""SELECT e.id AS entry_id, e.catalog, e.q FROM entry e WHERE {_FULL} AND q NOT IN (SELECT q FROM kb_sitelinks WHERE site = 'enwiki' AND q % 2 = 0)""")
+@query(f"""SELECT e.id AS entry_id, e.catalog, e.q FROM entry e WHERE {_FULL} AND q NOT IN (SELECT q FROM kb_sitelinks WHERE site = 'enwiki')""")
 def missing_pages(t):
-    return report.missing_pages(t.entry, t.kb_sitelinks.where("q % 2 = 0"), "enwiki")
+    return report.missing_pages(t.entry, t.kb_sitelinks, "enwiki")
 
 
 @query(f"""SELECT {_KEY} AS name, count(DISTINCT catalog) AS catalogs, count(*) FILTER (q IS NULL) AS unset, {csv()} AS entry_ids FROM entry WHERE {_ACTIVE} AND (q IS NULL OR q <> -1) GROUP BY 1
@@ -856,7 +856,7 @@ def clean_html_pages(t):
     return t.driver("pages").select("page_id", text.clean_html(F.col("html")).alias("text"))
 
 
-_NEW = "SELECT p_partkey % 4 AS catalog, 'p' || CAST(p_partkey // 4 AS VARCHAR) AS ext_id, p_name AS n, CAST(77 AS BIGINT) AS nq FROM part WHERE p_partkey % 3 = 0"
+_NEW = "SELECT p_partkey % 4 AS catalog, 'p' || CAST(p_partkey // 4 AS VARCHAR) AS ext_id, p_name AS n, CAST(77 AS BIGINT) AS nq FROM part WHERE p_size <= 25"
 _FOUR = "SELECT id, id % 4 AS catalog, 'P' || CAST(id // 4 AS VARCHAR) AS ext_id, ext_name, q, uid FROM entry"
 
 
@@ -864,7 +864,7 @@ _FOUR = "SELECT id, id % 4 AS catalog, 'P' || CAST(id // 4 AS VARCHAR) AS ext_id
            FROM o LEFT JOIN n ON n.catalog = o.catalog AND lower(n.ext_id) = lower(o.ext_id) WHERE n.nq IS NOT NULL OR coalesce(o.uid > 0, false)""")
 def import_delete_absent(t):
     id_ = F.col("p_partkey")
-    new = t.driver("part").where("p_partkey % 3 = 0").select(
+    new = t.driver("part").where("p_size <= 25").select(
         (id_ % 4).cast("long").alias("catalog"), F.concat(F.lit("p"), F.floor(id_ / 4).cast("string")).alias("ext_id"), F.lit("").alias("ext_url"), F.concat("p_name", F.lit("!")).alias("ext_name"),
         F.lit("").alias("ext_desc"), F.lit(77).cast("long").alias("q"), F.lit(0).cast("long").alias("uid"), F.lit("20250101000000").alias("ts"), F.lit("").alias("type"),
     )
@@ -872,10 +872,10 @@ def import_delete_absent(t):
     return meta_entry.import_entries(old, new, "add_replace_delete").select("catalog", "ext_id", "ext_name", "q")
 
 
-@query(f"""WITH v AS (SELECT property, value, min(q) AS q FROM kb_claims WHERE (property, value) IN (SELECT (property, value) FROM kb_claims WHERE q % 2 = 0) GROUP BY 1, 2 HAVING count(DISTINCT q) = 1)
+@query(f"""WITH v AS (SELECT property, value, min(q) AS q FROM kb_claims WHERE (property, value) IN (SELECT (property, value) FROM kb_claims WHERE property >= 214) GROUP BY 1, 2 HAVING count(DISTINCT q) = 1)
            SELECT e.id AS entry_id, v.q FROM entry e JOIN catalog c ON c.id = e.catalog AND c.{_PRIMARY.replace(' AND ', ' AND c.')} JOIN v ON v.property = c.wd_prop AND v.value = e.ext_id WHERE e.q IS NULL OR e.uid = 0""")
 def change_feed_matches(t):
-    changes = t.kb_claims.where("q % 2 = 0").select(F.col("q").alias("item"), "property").distinct()
+    changes = t.kb_claims.where("property >= 214").select(F.col("q").alias("item"), "property").distinct()
     return feeds.changes_to_matches(changes, t.kb_claims, t.entry, t.catalog)
 
 
