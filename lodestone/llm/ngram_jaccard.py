@@ -227,10 +227,16 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     like others but name no component, unless no row there has an id. Repeated
     rows come as often as they are there. Sets are told apart by 64-bit hashes.
     """
+    return _labelled(docs, F.monotonically_increasing_id()).drop("label")
+
+
+def _labelled(docs: DataFrame, rid: Column) -> DataFrame:
+    """linked_documents, with the rows numbered by rid and the label of their
+    component, which rows without words don't have."""
     parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("rid"),
+        rid.alias("rid"),
         F.spark_partition_id().alias("src"),
         whole_text().alias("text"),
     )
@@ -247,23 +253,24 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     member = components(links)
     named = classes.join(member, "id", "left").withColumn("label", F.coalesce("label", "id"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    answers = named.join(smallest, "label").select("id", "component_id")
+    answers = named.join(smallest, "label").select("id", "component_id", "label")
     # An answer for each (class, input partition) first: see exact_dedup.
     local = full.select("id", "src").distinct().join(answers, "id")
-    grouped = full.join(local, ["id", "src"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "rid")
-    alone = entries.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid")
+    grouped = full.join(local, ["id", "src"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "rid", "label")
+    alone = entries.where("size = 0").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid", F.lit(None).cast("long").alias("label")
+    )
     return grouped.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, the one with its smallest doc_id; same
-    columns. Rows without words all stay."""
-    decided = linked_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key, empty = free_names(docs, "key", "empty")
-    stay = decided.select(
-        F.coalesce("doc_id", F.lit(_NOBODY)).alias(key), (F.col("n_shingles") == 0).alias(empty)
-    ).distinct()
-    words = whole_text().rlike(r"[^\x20\x09-\x0D]")
-    marked = docs.withColumns({key: F.coalesce(docs["doc_id"].cast("long"), F.lit(_NOBODY)), empty: ~words})
-    kept = marked.join(stay, [key, empty], "left_semi")
-    return kept.where(~F.col(empty)).dropDuplicates([key]).unionByName(kept.where(empty)).select(*docs.columns)
+    columns. Rows without words all stay. Of rows that share that id the first
+    stays, and so it does in a component without ids."""
+    (rid,) = free_names(docs, "jaccard_rid")
+    numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "jaccard-docs")
+    decided = materialise(_labelled(numbered, F.col(rid)).select("doc_id", "rid", "label"), "jaccard-decided")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"]
+    chosen = decided.where("label IS NOT NULL").groupBy("label").agg(first.alias(rid)).select(rid)
+    stay = chosen.unionByName(decided.where("label IS NULL").select(F.col("rid").alias(rid)))
+    return numbered.join(stay, rid, "left_semi").select(*docs.columns)

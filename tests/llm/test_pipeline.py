@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from lodestone.llm import ngram_jaccard
 from lodestone.llm.queries import QUERIES
 from tests.llm.test_language_jaccard import _brute
 
@@ -33,3 +34,17 @@ def test_run_equals_its_stages(spark, docs, tmp_path):
 def test_a_query_for_each_operator(n):
     names = [q for q in __spark_entry__.queries() if q.startswith(f"op{n}_")]
     assert len(names) == 1 and names[0] in QUERIES and "pipeline" in __spark_entry__.queries()
+
+
+def test_near_copies_leave_one_row_of_each_component(make):
+    """Rows without an id, and ids that stand for texts that don't link."""
+    lone = [" ".join(f"{x}{k}" for k in range(12)) for x in "abcdef"]
+    near = " ".join(f"n{k}" for k in range(60))
+    items = [(None, t, None, None) for t in lone[:3]] + [(None, near, None, None), (20, near + " end", None, None)]
+    items += [(7, lone[3], None, None), (7, lone[4], None, None), (None, lone[5], None, None), (8, lone[5].upper(), None, None)]
+    items += [(None, near.replace("n", "m"), None, None), (None, near.replace("n", "m") + " end", None, None), (None, "", None, None), (None, "", None, None)]
+    kept = Counter((r.doc_id, r.text) for r in ngram_jaccard.one_of_each(make(items).repartition(3)).collect())
+    pair = [x for x in kept if x[1].startswith("m0")]
+    assert len(pair) == 1 and pair[0][0] is None
+    want = [(None, t) for t in lone[:3]] + [(20, near + " end"), (7, lone[3]), (7, lone[4]), (8, lone[5].upper()), (None, ""), (None, ""), pair[0]]
+    assert kept == Counter(want)
