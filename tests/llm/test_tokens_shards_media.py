@@ -167,3 +167,40 @@ def test_mixed_returns_the_documents(docs, awkward):
     out = mixing.mixed(docs, block_rows=2)
     assert out.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((d, t) for d, t, _, _ in awkward)
+
+
+def test_mixture_keeps_to_the_targets_themselves(make):
+    """Over many times 1024 slots, with targets that no 1024th meets, a rare one and one of 0."""
+    targets = {f"s{k}": 1.0 for k in range(20)} | {"rare": 0.002, "last": 0.0}
+    items = [(k, None, None, s) for s in targets for k in range(3 if s in ("rare", "last") else 1000)]
+    rows = mixing.mix(make(items), targets, block_rows=1).collect()
+    assert sorted((r.doc_id, r.source) for r in rows) == sorted((d, s) for d, _, _, s in items)
+    order = [r.source for r in sorted(rows, key=lambda r: r.position)]
+    assert order[-3:] == ["last"] * 3
+    total, had, end = sum(targets.values()), Counter(), sum(r.phase == 0 for r in rows)
+    assert end > 19_000
+    for t, source in enumerate(order[:end], 1):
+        had[source] += 1
+        if t % 50 == 0 or t == end:
+            assert all(abs(had[s] - w / total * t) < 1 + 1e-6 for s, w in targets.items())
+
+
+def test_mixture_of_bad_targets(make):
+    with pytest.raises(ValueError):
+        mixing.mix(make([(1, None, None, "a")]), {"a": -1.0})
+
+
+def test_slots_are_the_same_from_every_state():
+    blocks, weights = {"a": 700, "b": 300, "c": 41}, {"a": 3.0, "b": 2**0.5, "c": 0.1}
+    whole = [x[:2] for x in mixing.schedule(blocks, weights, step=10**9)]
+    assert [p for p, _ in whole] == [0, 1, 2]
+    found = {}
+    for step in (10**9, 7):
+        found[step] = []
+        for x in mixing.schedule(blocks, weights, step=step):
+            for t, s, j in mixing.turns(x.units, mixing.PERIOD, x.had, x.lo):
+                if t >= x.hi:
+                    break
+                found[step].append((x.start + t, s, x.first[s] + j))
+    assert found[7] == found[10**9] and [t for t, _, _ in found[7]] == list(range(1041))
+    assert Counter(s for _, s, _ in found[7]) == blocks
