@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`, in stages that are written and read again.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
-and returns the columns of documents; the last returns the packed pieces.
+and returns the columns of documents, from mixing on with the place in the
+mixture; the last returns the packed pieces, in windows of the mixture.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from lodestone.llm import exact_dedup, language_id, mixing, ngram_jaccard, packi
 from lodestone.llm.common import documents, materialise
 from lodestone.llm.queries import tokenizer_path
 
+#: The column of a document's place in the mixture.
+PLACE = "mix_position"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
@@ -29,13 +33,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which sources come by their target weights."""
-    return mixing.mixed(docs)
+    """All documents with their places in the order in which sources come by their
+    target weights."""
+    return mixing.mixed(docs, position=PLACE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of all documents with their places in sequences of 1024 tokens, which
+    come in the order of the mixture."""
+    return packing.pack(docs, tokenizer_path(), order=PLACE)
 
 
 STAGES = [

@@ -180,16 +180,16 @@ def _placed(rows: DataFrame, weights: dict[str, float] | None, flatten: float, b
     )
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, flatten: float = 0.5, block_rows: int = 16) -> DataFrame:
-    """The rows of docs in the order of the mixture; same columns.
-
-    A row finds its place by doc_id and source; rows that repeat both stand
-    together at the first of their places.
-    """
-    id_, at, src = free_names(docs, "mix_id", "mix_at", "mix_source")
-    places = mix(docs, weights, flatten, block_rows).select(
-        F.col("doc_id").alias(id_), F.col("source").alias(src), F.col("position").alias(at)
-    )
-    first = places.groupBy(id_, src).agg(F.min(at).alias(at))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & docs["source"].cast("string").eqNullSafe(F.col(src))
-    return docs.join(first, same).orderBy(at).select(*docs.columns)
+def mixed(
+    docs: DataFrame, weights: dict[str, float] | None = None, flatten: float = 0.5, block_rows: int = 16, position: str | None = None
+) -> DataFrame:
+    """The rows of docs in the order of the mixture; same columns, and the place
+    in the mixture as `position` if that is given. Every row has its own place,
+    rows that repeat a doc_id or have none like the others."""
+    rid, at = free_names(docs, "mix_rid", "mix_at")
+    numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
+    places = _placed(_short(numbered, F.col(rid)), weights, flatten, block_rows)
+    ordered = numbered.join(places.select(F.col("rid").alias(rid), F.col("position").alias(at)), rid).orderBy(at)
+    if position is None:
+        return ordered.select(*docs.columns)
+    return ordered.select(*[c for c in docs.columns if c != position], F.col(at).alias(position))

@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from lodestone.llm import ngram_jaccard
-from lodestone.llm.queries import QUERIES
+from lodestone.llm import mixing, ngram_jaccard, packing
+from lodestone.llm.common import materialise
+from lodestone.llm.queries import QUERIES, tokenizer_path
 from tests.llm.test_language_jaccard import _brute
 
 
@@ -48,3 +49,36 @@ def test_near_copies_leave_one_row_of_each_component(make):
     assert len(pair) == 1 and pair[0][0] is None
     want = [(None, t) for t in lone[:3]] + [(20, near + " end"), (7, lone[3]), (7, lone[4]), (8, lone[5].upper()), (None, ""), (None, ""), pair[0]]
     assert kept == Counter(want)
+
+
+def test_sequences_follow_the_mixture(spark, make):
+    items = [(k, f"text {k} of some words", None, "hot" if k % 5 else "a") for k in range(1500)]
+    mixed = mixing.mixed(make(items), {"hot": 1.0, "a": 1.0}, block_rows=4, position="at")
+    source = {d: s for d, _, _, s in items}
+    rows = packing.pack(mixed, tokenizer_path(), capacity=64, order="at", window=64).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(list(source))
+    starts = Counter(r.sequence_id for r in rows)
+    assert sorted(starts) == list(range(len(starts)))
+    had, n = Counter(), 0
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        n += 1
+        had[source[r.doc_id]] += 1
+        if had["a"] < 300:  # until the smaller source ends; a prefix reaches into one window at most
+            assert abs(had["hot"] - n / 2) <= 4 + 64 / 2
+            if n % 64 == 0:  # whole windows
+                assert abs(had["hot"] - n / 2) <= 4
+
+
+def test_the_last_stage_keeps_the_order_of_the_one_before(spark, make):
+    items = [(k, " ".join([f"w{k}"] * (1 + k % 90)), None, "hot" if k % 5 else "a") for k in range(400)]
+    mixed = materialise(corpus_pipeline.mix_sources(spark, make(items), ""), "mixed")
+    at = {d: k for k, d in enumerate(r.doc_id for r in mixed.orderBy(mixed.columns[-1]).collect())}
+    first = {}
+    for r in corpus_pipeline.pack_sequences(spark, mixed, "").collect():
+        first[r.sequence_id] = min(first.get(r.sequence_id, len(at)), at[r.doc_id])
+    assert len(first) > 10 and [first[k] for k in range(len(first))] == sorted(first.values())
+
+
+def test_rows_without_an_id_have_places_of_their_own(make):
+    rows = mixing.mixed(make([(None, f"t{k}", None, "a") for k in range(40)]), position="at").collect()
+    assert sorted(r["at"] for r in rows) == list(range(40)) and len({r.text for r in rows}) == 40
