@@ -1,9 +1,10 @@
 """Secret scans: known forms, and character Markov models for the rest.
 
-Three forms are found by pattern. Beyond them, every long run of identifier
-characters is judged by two Markov chains of order 2 over characters, one
-trained on random strings and one on ordinary identifiers: the log-likelihood
-ratio, per character, must pass a threshold. Both chains are trained from
+Three forms are found by pattern. Beyond them, what they leave of every long run
+of identifier characters is judged by two Markov chains of order 2 over
+characters, one trained on random strings and one on ordinary identifiers: the
+log-likelihood ratio, per character, must pass a threshold, over the whole part
+or else over a long enough segment of it. Both chains are trained from
 labelled samples: strings that the patterns found in the corpus and seeded random
 strings on one side, ordinary words of the corpus and composed identifiers,
 numbers and addresses on the other. What is taken from the corpus is bounded.
@@ -49,8 +50,10 @@ return select server service session set setting size some sort source start sta
 text the this time title type unit update user value view width window word work world write year zone
 """.split()
 
+_SEPARATORS = "+/_=-"
 _SYMBOLS = 96  # printable ASCII without space, and one for the start
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_PIECE = re.compile(r"[A-Za-z0-9]{%d,}" % LEAST)
 _ASSIGN = re.compile(ASSIGN, re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # leftmost runs of 20 characters and more
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -147,17 +150,84 @@ def fit(docs: DataFrame) -> np.ndarray:
     return (train(secret) - train(ordinary)).astype(np.float32)
 
 
+def _uncovered(text: str, start: int, end: int, base: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The long parts of a run between the known forms, without the separators
+    that stand next to those."""
+    at = start
+    for s, _, e, _ in [x for x in base if x[0] < end and start < x[2]] + [(end, 0, end, end)]:
+        lo, hi = at, min(s, end)
+        while lo > start and lo < hi and text[lo] in _SEPARATORS:
+            lo += 1
+        while hi < end and lo < hi and text[hi - 1] in _SEPARATORS:
+            hi -= 1
+        if hi - lo >= LEAST:
+            yield lo, hi
+        at = max(at, e)
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int]]:
+    """The segments of at least LEAST characters whose scores add up to the most
+    beyond THRESHOLD for each, one after the other; they don't overlap."""
+    found, todo = [], [(0, len(scores))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST:
+            continue
+        total = np.concatenate([[0.0], np.cumsum(scores[lo:hi] - THRESHOLD)])
+        end = int((total - np.minimum.accumulate(total)).argmax())
+        start = int(total[: end + 1].argmin())
+        if start == end:
+            continue
+        if end - start >= LEAST:
+            found.append((lo + start, lo + end))
+        todo += [(lo, lo + start), (lo + end, hi)]
+    return found
+
+
+def _mean(word: str, ratio: np.ndarray) -> float:
+    c = _codes(word)
+    return ratio[c[:-2], c[1:-1], c[2:]].mean()
+
+
+def _snapped(run: str, start: int, end: int) -> tuple[int, int]:
+    """A segment whose ends go to the separator or the run's end that is less than
+    three characters away."""
+    for k in (0, 1, 2, -1, -2, -3):
+        if start - k == 0 or (0 < start - k and run[start - k - 1] in _SEPARATORS and run[start - k] not in _SEPARATORS):
+            start -= k
+            break
+    for k in (0, 1, 2, -1, -2, -3):
+        if end + k == len(run) or (end + k < len(run) and run[end + k] in _SEPARATORS and run[end + k - 1] not in _SEPARATORS):
+            end += k
+            break
+    return start, end
+
+
+def random_parts(run: str, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """The run if it counts as random as a whole; or else what does so between two
+    separators, and segments, which join what they overlap."""
+    c = _codes(run)
+    scores = ratio[c[:-2], c[1:-1], c[2:]]
+    if scores.mean() > THRESHOLD:
+        return [(0, len(run))]
+    found = [_snapped(run, i, j) for i, j in segments(scores)]
+    found += [m.span() for m in _PIECE.finditer(run) if _mean(m.group(), ratio) > THRESHOLD]
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(found):
+        if out and i < out[-1][1]:
+            out[-1] = (out[-1][0], max(j, out[-1][1]))
+        else:
+            out.append((i, j))
+    return out
+
+
 def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets, by start and kind."""
     base = base_spans(text)
     out = [(start, kind, end) for start, kind, end, _ in base]
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in out):
-            continue
-        c = _codes(m.group())
-        if ratio[c[:-2], c[1:-1], c[2:]].mean() > THRESHOLD:
-            out.append((start, 3, end))
+        for start, end in _uncovered(text, *m.span(), base):
+            out += [(start + i, 3, start + j) for i, j in random_parts(text[start:end], ratio)]
     return sorted(out)
 
 
