@@ -31,19 +31,32 @@ ENDINGS = {"m": ["", "o", "ов", "ος"], "f": ["", "a", "ова", "α"]}
 
 _TITLE = f"(?:{'|'.join(MALE + FEMALE)})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_ALONE = r"(?<![\p{L}\d])(?<!\d[.,:/+-])"  # before a number that is no part of another
+_PHONE = "|".join(
+    [
+        r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?|\d{1,2}[ .-])?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)",
+        # international: without separators, then in groups of 8 to 15 digits together
+        r"(?<![\p{L}\d+])\+[1-9]\d{7,14}(?!\d)",
+        r"(?<![\p{L}\d+])\+(?=(?:[ ./()-]{0,2}\d){8,15}(?!\d))[1-9]\d{0,2}(?: ?\(\d{1,5}\) ?|[ ./-])\d{1,8}(?:[ ./-]\d{2,8}){0,5}(?!\d)",
+        # national: five pairs, an area code before a local part, all in one
+        rf"{_ALONE}0\d(?:[ .-]\d{{2}}){{4}}(?!\d)",
+        rf"{_ALONE}(?:\(0\d{{1,4}}\) ?\d{{4,8}}|0\d{{1,4}}(?: ?/ ?|[ -])\d{{5,8}})(?![\p{{L}}\d])",
+        rf"{_ALONE}(?:0\d{{8,11}}|[2-9]\d{{9}})(?![\p{{L}}\d])(?![.,]\d)",
+    ]
+)
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\p{L}\d.+-])\d(?:[ -]?\d){12,18}(?![\p{L}\d])",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?|\d{1,2}[ .-])?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)",
+    "card": r"(?<![\p{L}\d])(?<!\d[.+-])(?<![\s][.-])(?<!^[.-])\d(?:[ -]?\d){12,18}(?![\p{L}\d])",
+    "phone": _PHONE,
     "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
 }
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(PATTERNS.values())
 #: An entity's pattern can match only a text with one of these.
-_HINT = rf"[@]|\d[\d .()-]{{5,}}\d|{_TITLE}\.? \p{{Lu}}"
+_HINT = rf"[@]|\d[\d ./()-]{{5,}}\d|{_TITLE}\.? \p{{Lu}}"
 
 
 def _kind(mention: Column) -> Column:

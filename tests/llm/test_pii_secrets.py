@@ -110,6 +110,25 @@ def test_markov_models_separate():
     assert sum(caught) > 0.98 * len(caught) and sum(wrong) < 0.02 * len(wrong)
 
 
+PHONES = ["+4915112345678", "+33 1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "0171 1234567", "0171/1234567", "(030) 1234567", "030/1234567",
+          "5551234567", "01711234567", "+49 (0)30 1234567", "+49 151 12345678", "+34 612 34 56 78", "+1 (017) 555-7713", "555-123-4567"]
+CARDS = ["No.4111111111111111", "card-4111 1111 1111 1111", "(4111-1111-1111-1111)", "x:+4111111111111111"]
+NEITHER = ["1.4111111111111111", "at 1700000000 s", "2024-01-15 and 01/2024", "3.14159265358", "-4111111111111111", "id_x12345678901"]
+
+
+def test_forms_of_phones_and_cards(make):
+    items = [(k, f"call {x}, or" if x in PHONES else x, None, None) for k, x in enumerate(PHONES + CARDS + NEITHER)]
+    rows = sorted(pii.replace_entities(make(items), "k").collect(), key=lambda r: r.doc_id)
+    shape = lambda t: re.sub(r"\d", "9", t)
+    for (_, text, _, _), r in zip(items, rows, strict=True):
+        bare = text.removeprefix("call ").removesuffix(", or")
+        want = (int(bare in PHONES), int(bare in CARDS))
+        assert (text, r.n_phone, r.n_card, r.n_entities) == (text, *want, sum(want)) and shape(r.text) == shape(text)
+        assert (r.text != text) == bool(sum(want))
+    same = sorted(pii.replace_entities(make([(1, "+4915112345678", None, None), (2, "+49 151 12345678", None, None)]), "k").collect(), key=lambda r: r.doc_id)
+    assert same[0].text == same[1].text.replace(" ", "")
+
+
 def test_secrets_beside_known_forms_and_ordinary_characters():
     import random
 
