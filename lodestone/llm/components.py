@@ -12,6 +12,9 @@ from lodestone.llm.common import map_arrow, materialise
 
 _EDGES = "a long, b long"
 
+#: Edges, of which each vertex has one at most, that one task joins up: some 50 MB.
+ONE_TASK = 200_000
+
 
 class Forest:
     """Union-find in which the smallest member is the root."""
@@ -47,6 +50,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
 
 
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All vertices with the smallest member of their component."""
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            forest.union(a, b)
+    out = [(v, forest.find(v)) for v in list(forest.parent)]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["id", "label"])
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Every vertex hands its larger (or its other) neighbours to the smallest of
     them and itself. edges (a, b) have a > b; so do those that come out."""
@@ -76,7 +89,8 @@ def components(edges: DataFrame) -> DataFrame:
     """id, label for every vertex: label is the smallest id in its component.
 
     edges: a long, b long, in any order, repeated or not. Partitions first shrink
-    their own edges to stars. Every vertex then hangs on its smallest neighbour,
+    their own edges to stars. If no more than ONE_TASK are left, one task joins
+    them up. Otherwise every vertex hangs on its smallest neighbour,
     and only neighbours that others hang on go into the rounds (large-star and
     small-star until nothing changes; each vertex is joined with one number, no
     list of neighbours anywhere): a vertex with thousands of neighbours takes part
@@ -84,6 +98,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     larger = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     stars = materialise(map_arrow(larger.repartition("a"), _contract, _EDGES), "stars")
+    if stars.count() <= ONE_TASK:
+        return map_arrow(stars.coalesce(1), _labels, "id long, label long")
     up = materialise(stars.groupBy("a").agg(F.min("b").alias("p")), "stars")
     held = stars.select("b").distinct()
     across = stars.join(up, "a").where("b <> p").select(F.col("b").alias("x"), F.col("p").alias("y"))

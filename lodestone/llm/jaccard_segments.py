@@ -117,29 +117,27 @@ def linked(both: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
     return 100 * both >= PERCENT * (size + sizes - both)
 
 
-def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], known: list | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links among the sets connect, and no more.
 
-    Every set that isn't in the largest component is compared with all others
-    over postings, so no link between components goes unseen; sets within one
-    need no comparison.
+    known: a mark for each set; sets of the same mark count as connected. Every
+    set that isn't in the largest component is compared with all others over
+    postings, so no link between components goes unseen; sets within one need no
+    comparison.
     """
-    from lodestone.llm.components import Forest
-
     count = len(sets)
     if count < 2:
         return []
     sizes = np.array([len(s) for s in sets])
     _, element, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(count), sizes)
-    common = often[element] > 1
-    order = np.argsort(element, kind="stable")
-    postings = owner[order]
+    owner = np.repeat(np.arange(count, dtype=np.int32), sizes)
+    postings = owner[np.argsort(element, kind="stable")]
     ends = np.cumsum(often)
     begins = ends - often
-    own = np.split(element, np.cumsum(sizes)[:-1])
-    weight = np.bincount(owner, weights=often[element] * common, minlength=count)
-    forest, component, out = Forest(), np.arange(count), []
+    own = np.split(element.astype(np.int32), np.cumsum(sizes)[:-1])
+    weight = np.array([often[e][often[e] > 1].sum() for e in own])
+    component = np.arange(count) if known is None else np.unique(np.array(known), return_inverse=True)[1]
+    out = []
     done = np.zeros(count, bool)
     for _ in range(count):
         members = np.bincount(component, minlength=count)
@@ -156,9 +154,8 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             continue
         both = np.bincount(np.concatenate([postings[begins[e] : ends[e]] for e in mine]), minlength=count)
         hit = np.flatnonzero(linked(both, sizes[p], sizes) & (component != component[p]) & (both > 0))
-        for q in hit.tolist():
-            if forest.union(p, q):
-                out.append((p, q))
         if len(hit):
-            component = np.array([forest.find(x) for x in range(count)])
+            met, first = np.unique(component[hit], return_index=True)
+            out += [(p, q) for q in hit[first].tolist()]
+            component[np.isin(component, met)] = component[p]
     return out

@@ -12,9 +12,15 @@ and are verified exactly. Three things keep it linear:
   a pair, or among the second; its two sets then both have that many keys of the
   second kind, and such sets are tied to the smallest member of each.
 - Pairs and ties only say which sets must meet. Components of candidates are
-  dealt out in chunks of bounded size, every two chunks of a component meet in
-  one task, and a task compares a set only with sets that it isn't connected
+  dealt out in chunks of bounded size. The sets of a chunk meet first, then one
+  set of each group that these found, over the chunks; only where a component
+  isn't one group by then do its chunks meet two by two, without those that are
+  of one group. A task compares a set only with sets that it isn't connected
   with yet. Links that span the components come out, never all pairs.
+
+What a Python worker holds is bounded: HELD keys before they are sent, about as
+many of a bucket (a key that more classes share is passed on as it comes), two
+chunks of sets, and the names of SEEN classes.
 """
 
 from __future__ import annotations
@@ -32,10 +38,15 @@ from lodestone.llm.components import components
 
 #: Classes that share a key up to which their pairs are counted.
 FEW = 12
-#: Keys that a task holds before it sends them.
-HELD = 2_000_000
-#: Shingles in a chunk of a component of candidates, about.
-CHUNK = 1_000_000
+#: Keys that a task holds before it sends them, or passes on what many share.
+HELD = 500_000
+#: Names of classes that a task remembers not to send their keys again.
+SEEN = 200_000
+#: Shingles in a chunk of a component of candidates, about; every set counts as
+#: SET more.
+CHUNK, SET = 250_000, 32
+#: Buckets of keys for each shuffle partition.
+SPREAD = 16
 #: Buckets of document ids by which texts are preselected for verification. The
 #: buckets in use are broadcast: BUCKETS numbers at most.
 BUCKETS = 1 << 19
@@ -82,6 +93,8 @@ def _mapped(buckets: int):
                 sizes.append(len(s))
                 names.append(name)
                 if len(s) and name[0] not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()  # to send keys twice changes nothing
                     seen.add(name[0])
                     keys.append(J.allocation(s))
                     classes.append(name[0])
@@ -100,15 +113,18 @@ def _mapped(buckets: int):
     return rows
 
 
-def shared_in(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all the classes that have each key: (a, b, count) of the pairs under keys
-    of at most FEW classes, and (key, class) of the members of the others."""
+def _distinct(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, classes) sorted and without repetitions, and each key's start and count."""
     order = np.lexsort((classes, keys))
     keys, classes = keys[order], classes[order]
     fresh = np.r_[True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])] if len(keys) else np.empty(0, bool)
     keys, classes = keys[fresh], classes[fresh]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
-    sizes = np.diff(np.r_[starts, len(keys)])
+    return keys, classes, starts, np.diff(np.r_[starts, len(keys)])
+
+
+def _pairs(classes: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, count) of the pairs under keys of 2 to FEW classes."""
     a, b, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for size in range(2, FEW + 1):
         own = starts[sizes == size]
@@ -121,29 +137,84 @@ def shared_in(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nda
     pairs = np.rec.fromarrays([np.concatenate(a), np.concatenate(b)], names="a,b")
     found, at = np.unique(pairs, return_inverse=True)
     count = np.bincount(at, weights=np.concatenate(n), minlength=len(found)).astype(np.int64)
+    return found["a"], found["b"], count
+
+
+def shared_in(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all the classes that have each key: (a, b, count) of the pairs under keys
+    of at most FEW classes, and (key, class) of the members of the others."""
+    keys, classes, starts, sizes = _distinct(keys, classes)
     many = np.repeat(sizes > FEW, sizes)
-    return found["a"], found["b"], count, keys[many], classes[many]
+    return *_pairs(classes, keys, starts, sizes), keys[many], classes[many]
+
+
+class Bucket:
+    """The keys of one bucket as they come in. A key that more than FEW classes
+    share by the time that HELD are held is passed on, and later classes of it as
+    they come, so a key's classes are never gathered."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.hot, self.held, self.bound = np.empty(0, np.uint64), 0, HELD
+
+    def add(self, keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, class) that need not be held."""
+        out = [(keys[:0], classes[:0])]
+        if len(self.hot):
+            at = np.isin(keys, self.hot)
+            out.append((keys[at], classes[at]))
+            keys, classes = keys[~at], classes[~at]
+        self.parts.append((keys, classes))
+        self.held += len(keys)
+        if self.held > self.bound:
+            keys, classes, starts, sizes = _distinct(*self._all())
+            many = np.repeat(sizes > FEW, sizes)
+            out.append((keys[many], classes[many]))
+            self.hot = np.union1d(self.hot, keys[starts[sizes > FEW]])
+            self.parts = [(keys[~many], classes[~many])]
+            self.held = len(self.parts[0][0])
+            self.bound = max(HELD, 2 * self.held)  # what is left is FEW for each key at most
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _all(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))
+
+    def end(self) -> tuple[np.ndarray, ...]:
+        return shared_in(*self._all())
 
 
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, classes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    """Rows sorted by bucket; a bucket's keys are held, no more."""
+
+    def members(key: np.ndarray, member: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(key), 50_000):
+            some = slice(at, at + 50_000)
+            odd = (key[some] & np.uint64(1)).astype(np.int64)
+            yield _batch(_REDUCED, len(odd), kind=np.full(len(odd), _MEMBER), a=key[some].view(np.int64), b=member[some], n=odd * _SURE)
+
+    def ended(bucket: Bucket) -> Iterator[pa.RecordBatch]:
+        a, b, n, key, member = bucket.end()
+        for at in range(0, len(a), 50_000):
+            some = slice(at, at + 50_000)
+            yield _batch(_REDUCED, len(a[some]), kind=np.full(len(a[some]), _PAIR), a=a[some], b=b[some], n=n[some])
+        yield from members(key, member)
+
+    number, bucket = None, None
     for batch in batches:
         is_doc = np.array(batch["kind"].to_numpy() == _DOC)
         docs = batch.filter(pa.array(is_doc))
         if docs.num_rows:
             yield _batch(_REDUCED, docs.num_rows, **{c: docs[c] for c in ("kind", "doc_id", "rid", "src", "size", "a", "b")})
-        for block in batch.filter(pa.array(~is_doc))["block"]:
+        blocks = batch.filter(pa.array(~is_doc))
+        for k, block in zip(blocks["bucket"].to_pylist(), blocks["block"], strict=True):
+            if k != number:
+                if bucket is not None:
+                    yield from ended(bucket)
+                number, bucket = k, Bucket()
             raw = np.frombuffer(block.as_py(), np.uint64)
-            keys.append(raw[: len(raw) // 2])
-            classes.append(raw[len(raw) // 2 :].view(np.int64))
-    a, b, n, key, member = shared_in(np.concatenate(keys), np.concatenate(classes))
-    for at in range(0, len(a), 50_000):
-        some = slice(at, at + 50_000)
-        yield _batch(_REDUCED, len(a[some]), kind=np.full(len(a[some]), _PAIR), a=a[some], b=b[some], n=n[some])
-    for at in range(0, len(key), 50_000):
-        some = slice(at, at + 50_000)
-        odd = (key[some] & np.uint64(1)).astype(np.int64)
-        yield _batch(_REDUCED, len(odd), kind=np.full(len(odd), _MEMBER), a=key[some].view(np.int64), b=member[some], n=odd * _SURE)
+            yield from members(*bucket.add(raw[: len(raw) // 2], raw[len(raw) // 2 :].view(np.int64)))
+    if bucket is not None:
+        yield from ended(bucket)
 
 
 def _allotment(size: Column) -> Column:
@@ -156,6 +227,15 @@ def shared_keys(x: Column, y: Column) -> Column:
     return F.least(_allotment(x), _allotment(y)) - F.floor((x + y) / 9)
 
 
+def least_shared(size: Column) -> Column:
+    """What shared_keys is at least, over all sizes y that a linked set can have.
+    shared_keys rises and falls by rounding, so the ends of the range don't tell.
+    But an allotment is 5/16 * (size + 1) or more: for y <= size, shared_keys is at
+    least 5/16 * (y + 1) - (size + y) / 9, which grows with y and is size / 20 + 5/16
+    at y = 4/5 * size; for larger y it is more. The whole number above that counts."""
+    return F.ceil((4 * size + 25) / 80)
+
+
 def _half(n: Column) -> Column:
     return F.greatest(F.ceil(n / 2), F.lit(1))
 
@@ -170,9 +250,7 @@ def _candidates(found: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = pairs.where(near).select("a", "b")
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), "n")
     often = members.groupBy("id").agg(F.sum(F.greatest("n", F.lit(1))).alias("n")).join(size, "id")
-    s = F.col("size")
-    least = F.least(shared_keys(s, F.ceil(s * 4 / 5)), shared_keys(s, F.floor(s * 5 / 4)))
-    enough = often.where(F.col("n") >= _half(least)).select("id")
+    enough = often.where(F.col("n") >= _half(least_shared(F.col("size")))).select("id")
     tied = members.select("key", "id").join(enough, "id")
     first = tied.groupBy("key").agg(F.min("id").alias("first"))
     ties = tied.join(first, "key").select(F.col("first").alias("a"), F.col("id").alias("b"))
@@ -180,40 +258,87 @@ def _candidates(found: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets by class; one that repeats an id and text comes once from a task."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        found = [J.shingles(t.as_py()) for t in batch["text"]]
-        columns = [batch["doc"], pa.array([J.digest(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+        out = []
+        for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
+            found = J.shingles(text.as_py())
+            name = J.digest(found)[0]
+            if (doc, name) not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()  # _links drops what comes twice
+                seen.add((doc, name))
+                out.append((doc, name, found.tobytes()))
+        columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
         yield pa.RecordBatch.from_arrays(columns, ["doc", "id", "elements"])
 
 
 def _links(group: pa.Table) -> pa.Table:
-    ids = group["id"].to_pylist()
-    links = J.spanning_links([np.frombuffer(e, np.uint64) for e in group["elements"].to_pylist()])
-    return pa.table({"a": pa.array([ids[p] for p, _ in links], pa.int64()), "b": pa.array([ids[q] for _, q in links], pa.int64())})
+    ids, at = np.unique(group["id"].to_numpy(), return_index=True)
+    group = group.take(pa.array(at))
+    sets = [np.frombuffer(e, np.uint64) for e in group["elements"].to_pylist()]
+    links = np.array(J.spanning_links(sets, group["mark"].to_pylist()), np.int64).reshape(-1, 2)
+    return pa.table({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
 
-def _verified(docs: DataFrame, meet: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that span what the candidates' links connect. meet: id, label."""
-    known = meet.join(classes, "id").select("id", "label", "size", "doc")
-    chunks = known.groupBy("label").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    others = F.transform(
-        F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
-            F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("own"))
-        ),
-        lambda c: F.struct(F.least(c, F.col("own")).alias("i"), F.greatest(c, F.col("own")).alias("j")),
-    )
-    dealt = known.join(chunks, "label").withColumn("own", own).withColumn("to", F.explode(others))
-    dealt = dealt.select("id", "doc", "label", "to.i", "to.j")
+def _met(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Links (a, b) among the sets that meet. dealt: id, doc, mark, label, i, j;
+    sets of one mark are connected."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    used = known.select(bucket("doc").alias("bucket")).distinct()  # BUCKETS rows at most
+    used = dealt.select(bucket("doc").alias("bucket")).distinct()  # BUCKETS rows at most
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY)).alias("doc"), whole_text().alias("text"))
     texts = texts.withColumn("bucket", bucket("doc")).join(F.broadcast(used), "bucket", "left_semi").select("doc", "text")
     sets = map_arrow(texts, _sets, "doc long, id long, elements binary")
-    met = dealt.join(sets, ["id", "doc"]).select("label", "i", "j", "id", "elements")
+    met = dealt.join(sets, ["id", "doc"]).select("label", "i", "j", "id", "mark", "elements")
     return met.groupBy("label", "i", "j").applyInArrow(_links, "a long, b long")
 
 
+def _verified(docs: DataFrame, meet: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that span what the candidates' links connect. meet: id, label."""
+    known = meet.join(classes, "id").select("id", "label", "size", "doc")
+    chunks = known.groupBy("label").agg(F.ceil(F.sum(F.col("size") + SET) / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    dealt = materialise(known.join(chunks, "label").withColumn("own", own), "jaccard-dealt")
+    alone = dealt.select("id", "doc", F.col("id").alias("mark"), "label", F.col("own").alias("i"), F.col("own").alias("j"))
+    links = materialise(_met(docs, alone), "jaccard-links")
+    several = dealt.where("chunks > 1")
+    if several.isEmpty():
+        return links
+    # One set of each group that a chunk found, over the chunks of the component.
+    marked = _marked(several, links)
+    spoken = marked.groupBy("label", "own", "mark").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "doc", "size"), "size").alias("x")).where("n > 1")
+    spoken = spoken.select("label", "mark", "x.*")
+    parts = spoken.groupBy("label").agg(F.ceil(F.sum(F.col("size") + SET) / CHUNK).cast("int").alias("chunks"))
+    spoken = _two_by_two(spoken.join(parts, "label").withColumn("own", own), within=True)
+    links = links.unionByName(materialise(_met(docs, spoken), "jaccard-links"))
+    # Chunks two by two, where their sets aren't all of one group yet.
+    marked = materialise(_marked(several, links), "jaccard-marked")
+    held = marked.groupBy("label", "own").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+    whole = held.groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("label")
+    open_ = marked.join(whole, "label", "left_semi")
+    pairs = _two_by_two(open_, within=False)
+    first, second = (held.select("label", F.col("own").alias(c), F.col("lo").alias(f"{c}_lo"), F.col("hi").alias(f"{c}_hi")) for c in "ij")
+    todo = pairs.select("label", "i", "j").distinct().join(first, ["label", "i"]).join(second, ["label", "j"])
+    todo = todo.where("NOT (i_lo = i_hi AND j_lo = j_hi AND i_lo = j_lo)").select("label", "i", "j")
+    return links.unionByName(materialise(_met(docs, pairs.join(todo, ["label", "i", "j"], "left_semi")), "jaccard-links"))
+
+
+def _marked(dealt: DataFrame, links: DataFrame) -> DataFrame:
+    """dealt with a mark that sets have in common if links connect them."""
+    group = components(links).withColumnRenamed("label", "mark")
+    return dealt.join(group, "id", "left").withColumn("mark", F.coalesce("mark", "id"))
+
+
+def _two_by_two(dealt: DataFrame, within: bool) -> DataFrame:
+    """Every set in a row for each other chunk (own of chunks) that its chunk meets;
+    one without others meets itself if within."""
+    numbers = F.sequence(F.lit(0), F.col("chunks") - 1)
+    to = F.filter(numbers, lambda c: (c != F.col("own")) | (F.lit(within) & (F.col("chunks") == 1)))
+    spread = dealt.withColumn("to", F.explode(to))
+    return spread.select("id", "doc", "mark", "label", F.least("to", "own").alias("i"), F.greatest("to", "own").alias("j"))
+
+
 def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, rid for every row of docs; rid numbers the rows.
 
@@ -240,8 +365,8 @@ def _labelled(docs: DataFrame, rid: Column) -> DataFrame:
         F.spark_partition_id().alias("src"),
         whole_text().alias("text"),
     )
-    mapped = map_arrow(rows, _mapped(8 * parts), _MAPPED)
-    found = materialise(map_arrow(mapped.repartition(parts, "bucket"), _reduced, _REDUCED), "jaccard-keys")
+    mapped = map_arrow(rows, _mapped(SPREAD * parts), _MAPPED)
+    found = materialise(map_arrow(mapped.repartition(parts, "bucket").sortWithinPartitions("bucket"), _reduced, _REDUCED), "jaccard-keys")
     entries = found.where(F.col("kind") == _DOC).select("doc_id", "rid", "src", "size", F.col("a").alias("id"))
     full = entries.where("size > 0")
     classes = materialise(
@@ -249,8 +374,7 @@ def _labelled(docs: DataFrame, rid: Column) -> DataFrame:
         .withColumn("doc", F.coalesce("first", F.lit(_NOBODY))), "jaccard-classes"
     )
     meet = components(_candidates(found, classes))
-    links = materialise(_verified(docs, meet, classes), "jaccard-links")
-    member = components(links)
+    member = components(_verified(docs, meet, classes))
     named = classes.join(member, "id", "left").withColumn("label", F.coalesce("label", "id"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     answers = named.join(smallest, "label").select("id", "component_id", "label")

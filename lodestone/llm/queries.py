@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,9 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(documents(spark, sf_dir), key=spark.conf.get("lodestone.pii.key", "lodestone"))
+    """The key is the session's lodestone.pii.key. Without one, a random key is drawn
+    and forgotten: nobody can then draw the same surrogates again."""
+    return pii.replace_entities(documents(spark, sf_dir), key=spark.conf.get("lodestone.pii.key", None) or token_hex(32))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

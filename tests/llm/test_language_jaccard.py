@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm import jaccard_segments as J
+from lodestone.llm import components as components_module
 from lodestone.llm import language_id, ngram_jaccard
 from lodestone.llm.components import components
 
@@ -115,6 +116,51 @@ def test_links_of_near_copies_and_shared_passages(make):
     _compare(make, [(1000 - k, t, None, None) for k, t in enumerate(texts)])
 
 
+def test_chunks_of_a_component_meet(make, monkeypatch):
+    """Components in many chunks: groups that the chunks' sets make and that only
+    pairs of chunks do, sets that don't link with a passage in common."""
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 900)
+    rng = random.Random(12)
+    texts = _near(rng, 60, 60, 3) + _near(rng, 40, 40, 5)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts += [passage + " " + " ".join(rng.choices([f"w{k}" for k in range(90)], k=rng.randint(6, 24))) for _ in range(50)]
+    _compare(make, [(k, t, None, None) for k, t in enumerate(texts)])
+
+
+def test_repeated_ids_and_texts_without_an_id(make):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    _compare(make, [(None, a, None, None)] * 9 + [(None, a + " x", None, None), (3, b, None, None), (3, b, None, None), (3, b + " y", None, None), (3, "", None, None)])
+
+
+def test_a_bucket_passes_on_what_many_share():
+    rng = np.random.default_rng(4)
+    keys = np.r_[np.full(900, 8, np.uint64), rng.integers(0, 200, 600).astype(np.uint64) * 2 + 100, np.full(5, 7, np.uint64)]
+    classes = rng.integers(-300, 300, len(keys))
+    whole = ngram_jaccard.shared_in(keys, classes)
+    bucket, passed = ngram_jaccard.Bucket(), []
+    bucket.bound = 150
+    for at in range(0, len(keys), 70):
+        passed.append(bucket.add(keys[at : at + 70], classes[at : at + 70]))
+        bucket.bound = min(bucket.bound, 400)
+    a, b, n, key, member = bucket.end()
+    assert bucket.held < 700 and 8 in bucket.hot
+    many = {*zip(*(x.tolist() for x in whole[3:]), strict=True)}
+    got = {*zip(key.tolist(), member.tolist(), strict=True)} | {x for k, m in passed for x in zip(k.tolist(), m.tolist(), strict=True)}
+    assert got == many
+    assert {*zip(a.tolist(), b.tolist(), n.tolist(), strict=True)} == {*zip(*(x.tolist() for x in whole[:3]), strict=True)}
+
+
+def test_least_shared_is_the_least(spark):
+    """Against all sizes that a linked set can have."""
+    from pyspark.sql import functions as F
+
+    allot = J.allotment
+    got = {r.id: r.n for r in spark.range(1, 1500).select("id", ngram_jaccard.least_shared(F.col("id")).alias("n")).collect()}
+    for s, n in got.items():
+        true = min(min(allot(s), allot(y)) - (s + y) // 9 for y in range(-(-s * 4 // 5), s * 5 // 4 + 1))
+        assert true - 1 <= n <= true
+
+
 def test_one_of_each(make):
     rng = random.Random(9)
     items = [(k, t, "en", "s") for k, t in enumerate([t for _ in range(8) for t in _near(rng, 4, 60, 2)] + ["", None, "  "])]
@@ -156,8 +202,20 @@ def test_spanning_links_connect_what_all_links_do():
         assert label(J.spanning_links(sets)) == label(links)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [components_module.ONE_TASK, 0])
+def test_components(spark, monkeypatch, bound):
+    """In one task, and in rounds."""
+    monkeypatch.setattr(components_module, "ONE_TASK", bound)
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 150: 100, 200: 100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    rng = random.Random(bound)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(300, k) for k in range(300, 360)]
+    at = list(range(400))
+    for _ in range(400):
+        for a, b in edges:
+            at[a] = at[b] = min(at[a], at[b])
+    want = {v: at[v] for e in edges for v in e if e[0] != e[1]}
+    got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want

@@ -1,9 +1,14 @@
+import hashlib
+import hmac
+import random
 import re
 
 import pytest
+import regex
 
 from lodestone.llm import pii, secrets
 
+KEY = "a key of the tests"
 TEXTS = [
     (1, "Mail Anna.Meyer@mail7.example.com or ANNA.MEYER@mail7.example.com, call +1 (017) 555-7713.", None, None),
     (2, "host 97.51.17.173 and anna.meyer@mail7.example.com; card 4111 1111 1111 1111, ssn 123-45-6789", None, None),
@@ -16,7 +21,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def replaced(make):
-    return {(r.doc_id, r.text): r for r in pii.replace_entities(make(TEXTS), "k").collect()}
+    return {(r.doc_id, r.text): r for r in pii.replace_entities(make(TEXTS), KEY).collect()}
 
 
 def _text(replaced, doc_id):
@@ -40,9 +45,12 @@ def test_same_entity_same_surrogate_everywhere(replaced):
 def test_gender_and_script(replaced):
     three = _text(replaced, 3)
     assert "Smith" not in three and "Muster" not in three and "Петров" not in three
-    names = re.findall(r"Mr (\w+ \w+)", three)
-    assert len(set(names)) == 1 and re.search(r"Frau \w+ \w+a ", three) and re.search(r"Mrs\. \w+ \w+a\.", three)
-    assert re.search(r"Господин [А-Я][а-я]+ [А-Я][а-я]+ов$", three)
+    men, women = (set(" ".join(pii.GIVEN[g]).split()) for g in "mf")
+    names = re.findall(r"Mr (\w+) (\w+)", three)
+    assert len(names) == 2 and len(set(names)) == 1 and names[0][0] in men
+    assert re.search(r"Frau (\w+) \w+ ", three)[1] in women and re.search(r"Mrs\. (\w+) \w+\.", three)[1] in women
+    russian = re.search(r"Господин ([А-Я][а-я]+) ([А-Я][а-я]+)$", three)
+    assert russian[1] in pii.GIVEN["m"][1].split() and russian[2] in pii.FAMILY["m"][1].split()
 
 
 def test_clean_rows_pass_through(replaced):
@@ -51,20 +59,172 @@ def test_clean_rows_pass_through(replaced):
 
 
 def test_rows_are_whole(make, empty):
-    assert pii.replace_entities(make(TEXTS), "k").count() == len(TEXTS)
-    assert pii.replace_entities(empty, "k").collect() == []
+    assert pii.replace_entities(make(TEXTS), KEY).count() == len(TEXTS)
+    assert pii.replace_entities(empty, KEY).collect() == []
 
 
-def test_collisions_are_drawn_again(spark):
-    """All 676 addresses of two letters under one domain: too many for the first draw."""
-    short = [("email", f"{a}{b}@c.de", f"{a}{b}@c.de") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
-    entities = spark.createDataFrame(short, "kind string, canonical string, mention string")
-    drawn = pii.draw(entities, "k").join(entities, ["kind", "canonical"])
-    from pyspark.sql import functions as F
+def _drawn(spark, entities):
+    return [r.target for r in pii.draw(spark.createDataFrame(entities, "kind string, canonical string"), KEY).collect()]
+
 
-    stream = pii._stream("k", F.col("kind"), F.col("canonical"), F.col("attempt"))
-    new = [r[0] for r in drawn.select(pii._surrogate(F.col("kind"), F.col("mention"), stream, F.col("attempt"))).collect()]
-    assert len(new) == 676 and len(set(new)) == 676 and not set(new) & {m for _, _, m in short}
+def test_collisions_are_drawn_again(spark):
+    """All 676 addresses of two letters under one domain, more people than there are
+    names, and all numbers of a length: as many as have room, or more."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    short = [("email", f"{a}{b}@c.de") for a in letters for b in letters]
+    people = [("person", f"m:{a}{b}{c}") for a in letters[:10] for b in letters[:10] for c in "xyz"] + [("person", "f:bo"), ("person", "m:adler")]
+    phones = [("phone", f"0{k}") for k in range(10)] + [("phone", f"0{k:02}") for k in range(100)]
+    for entities in (short, people, phones):
+        new = _drawn(spark, entities)
+        assert len(new) == len(entities) and len({x.lower() for x in new}) == len(new)
+        assert not {x.lower() for x in new} & {x for _, x in entities}
+
+
+def _hmac(kind, canonical, attempt):
+    return hmac.new(KEY.encode(), f"{kind}\x01{canonical}\x01{attempt}".encode(), hashlib.sha512).digest()
+
+
+def _reshaped(text, stream, fixed):
+    out, nth = [], 0
+    for c in text:
+        if c.isalnum():
+            nth += 1
+            for alphabet, accepted in zip(pii.ALPHABETS, pii._LETTERS, strict=True):
+                if nth > fixed and re.match(accepted, c.lower()):
+                    new = alphabet[stream[nth % 64] % len(alphabet)]
+                    c = new if c == c.lower() else new.upper()
+                    break
+        out.append(c)
+    return "".join(out)
+
+
+def _luhn_valid(number):
+    digits = [int(c) for c in reversed(number)]
+    return sum(digits[::2]) % 10 == -sum(sum(divmod(2 * d, 10)) for d in digits[1::2]) % 10
+
+
+def _expected(kind, canonical, attempt=0):
+    """A surrogate by another hand: the first attempt, without collisions."""
+    stream, n = _hmac(kind, canonical, attempt), len(canonical)
+    number = lambda k, below: int.from_bytes(stream[2 * k : 2 * k + 2], "big") % below
+    if kind == "email":
+        last = canonical.rsplit(".", 1)[-1]
+        return _reshaped(canonical[: n - len(last)], stream, 0) + last
+    if kind == "ip":
+        return ".".join(str(stream[k] % 254 + 1) for k in range(4))
+    if kind == "ssn":
+        return f"{number(0, 665) + 1:03}{number(1, 99) + 1:02}{number(2, 9999) + 1:04}"
+    if kind == "iban":
+        account = _reshaped(canonical, stream, 4)[4:]
+        value = int("".join(str(int(c, 36)) for c in account + canonical[:2] + "00"))
+        return f"{canonical[:2]}{98 - value % 97:02}{account}"
+    if kind == "phone":
+        kept = max(n - 10, int(canonical[0] == "0"))
+        out = list(_reshaped(canonical, stream, kept))
+        if canonical[0] != "0":
+            out[kept] = str(stream[(kept + 1) % 64] % 8 + 2)
+        return "".join(out)
+    if kind == "card":
+        body = _reshaped(canonical, stream, 1)[:-1]
+        return next(body + d for d in "0123456789" if _luhn_valid(body + d))
+    gender, name = canonical[0], canonical[2:]
+    script = 1 if re.search("[а-яё]", name) else 2 if re.search("[α-ωά-ώ]", name) else 0
+    of = lambda table, k: (words := table[gender][script].split())[number(k, len(words))]
+    before = of(pii.GIVEN, 1) + " " if " " in name else of(pii.FAMILY, 2) + "-" if "-" in name else ""
+    return f"{gender}:{before}{of(pii.FAMILY, 0)}"
+
+
+def _canonical(kind, mention):
+    if kind == "person":
+        title = re.match(rf"{pii._TITLE}\.? ", mention)[0]
+        return f"{'f' if title.strip(' .') in pii.FEMALE else 'm'}:{mention[len(title):].lower()}"
+    return mention.lower() if kind == "email" else mention if kind == "ip" else re.sub(r"[^\w]|_", "", mention.upper())
+
+
+def _mentions(text):
+    """(start, end, kind) by the patterns, each tried at every place in their order."""
+    whole = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()))
+    for m in whole.finditer(text):
+        yield m.start(), m.end(), next(k for k in pii.KINDS if regex.fullmatch(pii.PATTERNS[k], m[0]))
+
+
+def test_against_a_plain_version(make):
+    """Every text replaced by a loop over its mentions, with HMACs, check digits and
+    names by another hand; then what must hold between texts."""
+    rng = random.Random(6)
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    made = {
+        "email": lambda: f"{rng.choice(['Jo', 'max.m', 'x_y-z', 'ü.k'])}{digits(3)}@Mail{digits(2)}.example.{rng.choice(['com', 'de'])}",
+        "iban": lambda: rng.choice(["DE12 3456 7890 1234 5678 90", f"GB82WEST{digits(14)}", "AB12CDEFGHIJKLMN", f"FR76 {digits(4)} {digits(4)} AB{digits(2)} {digits(4)} 1"]),
+        "ip": lambda: f"10.{rng.randrange(255)}.3.{rng.randrange(255)}",
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "card": lambda: rng.choice([f"4{digits(15)}", f"5{digits(3)} {digits(4)} {digits(4)} {digits(4)}", f"37{digits(2)}-{digits(6)}-{digits(5)}"]),
+        "phone": lambda: rng.choice(PHONES + [f"+1 (017) {digits(3)}-{digits(4)}", f"0171 {digits(7)}", f"030/{digits(7)}"]),
+        "person": lambda: f"{rng.choice(pii.MALE[:4] + pii.FEMALE[:6])}{rng.choice(['', '.'])} {rng.choice(['John Smith', 'Li', 'Erika Muster', 'Jones-Meyer', 'Bo'])}",
+    }
+    words = ["and", "see", "the", "page 12", "1.2.3", "in 2024", "x", "Mr", "a@b", "é", "12345"]
+    texts = [", ".join(made[rng.choice(pii.KINDS)]() if rng.random() < 0.4 else rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    texts += ["word " * 30000 + "Mr John Smith " + "word " * 30000, None, "", "Господин Петров, Κύριος Παππάς, Госпожа Петрова"]
+    rows = {r.doc_id: r for r in pii.replace_entities(make([(k, t, None, None) for k, t in enumerate(texts)]).repartition(4), KEY).collect()}
+    seen, collided = {}, 0
+    for k, text in enumerate(texts):
+        got, at, shift = rows[k].text, 0, 0
+        text = text or ""
+        found = list(_mentions(text))
+        assert rows[k].n_entities == len(found)
+        for kind in pii.KINDS:
+            assert rows[k][f"n_{kind}"] == sum(x[2] == kind for x in found)
+        for start, end, kind in found:
+            mention = text[start:end]
+            assert got[at + shift : start + shift] == text[at:start]
+            canonical = _canonical(kind, mention)
+            target = _expected(kind, canonical)
+            title = re.match(rf"{pii._TITLE}\.? ", mention)[0] if kind == "person" else ""
+            if kind == "person":
+                want = title + target[2:]
+            elif kind in ("email", "ip"):
+                want = target
+            else:
+                left = list(target)
+                want = "".join(left.pop(0) if c.isalnum() else c for c in mention)
+            piece = got[start + shift : start + shift + len(want)]
+            if piece.lower() != want.lower():  # another attempt, after a collision
+                collided += 1
+                break
+            seen.setdefault((kind, canonical), set()).add(target)
+            at, shift = end, shift + len(want) - (end - start)
+        else:
+            assert got[at + shift :] == text[at:]
+    assert collided < 30 and len(seen) > 150 and all(len(x) == 1 for x in seen.values())
+    for (kind, _), targets in seen.items():
+        (target,) = targets
+        if kind == "card":
+            assert _luhn_valid(target)
+        if kind == "iban":
+            assert int("".join(str(int(c, 36)) for c in target[4:] + target[:4])) % 97 == 1
+        if kind in ("card", "iban", "ip", "ssn", "email"):
+            shown = f"{target[:3]}-{target[3:5]}-{target[5:]}" if kind == "ssn" else target
+            assert regex.fullmatch(pii.PATTERNS[kind], shown), (kind, target)
+
+
+def test_the_hint_never_hides_an_entity():
+    rng = random.Random(3)
+    parts = ["1", "22", "333", "4444", "55555", "(", ")", " ", "-", ".", "/", "+", "0", "AB", "C", "@", "x.de", "Mr ", "Bo", "DE12", "9"]
+    hint, whole = regex.compile(pii._HINT), regex.compile(pii._ANY)
+    hits = 0
+    for _ in range(60000):
+        text = "".join(rng.choices(parts, k=rng.randint(2, 9)))
+        if whole.search(text):
+            hits += 1
+            assert hint.search(text), text
+    assert hits > 1000
+
+
+def test_a_key_is_needed_and_decides(make):
+    with pytest.raises(ValueError):
+        pii.replace_entities(make(TEXTS), "short")
+    one, two = ({r.doc_id: r.text for r in pii.replace_entities(make(TEXTS[:3]), k).collect()} for k in (KEY, KEY + "!"))
+    assert all(one[k] != two[k] for k in one)
 
 
 def _brute(text):
@@ -118,14 +278,14 @@ NEITHER = ["1.4111111111111111", "at 1700000000 s", "2024-01-15 and 01/2024", "3
 
 def test_forms_of_phones_and_cards(make):
     items = [(k, f"call {x}, or" if x in PHONES else x, None, None) for k, x in enumerate(PHONES + CARDS + NEITHER)]
-    rows = sorted(pii.replace_entities(make(items), "k").collect(), key=lambda r: r.doc_id)
+    rows = sorted(pii.replace_entities(make(items), KEY).collect(), key=lambda r: r.doc_id)
     shape = lambda t: re.sub(r"\d", "9", t)
     for (_, text, _, _), r in zip(items, rows, strict=True):
         bare = text.removeprefix("call ").removesuffix(", or")
         want = (int(bare in PHONES), int(bare in CARDS))
         assert (text, r.n_phone, r.n_card, r.n_entities) == (text, *want, sum(want)) and shape(r.text) == shape(text)
         assert (r.text != text) == bool(sum(want))
-    same = sorted(pii.replace_entities(make([(1, "+4915112345678", None, None), (2, "+49 151 12345678", None, None)]), "k").collect(), key=lambda r: r.doc_id)
+    same = sorted(pii.replace_entities(make([(1, "+4915112345678", None, None), (2, "+49 151 12345678", None, None)]), KEY).collect(), key=lambda r: r.doc_id)
     assert same[0].text == same[1].text.replace(" ", "")
 
 
