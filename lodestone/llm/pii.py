@@ -53,11 +53,11 @@ FAMILY = {
 }
 FAMILY["f"] = [FAMILY["m"][0], " ".join(f"{x}а" for x in FAMILY["m"][1].split()), FAMILY["m"][2]]
 #: Syllables that a family name goes on with when the names are used up.
-SYLLABLES = [[c + v for c in cs for v in vs] for cs, vs in (("bdfgklmnprstvz", "aeiou"), ("бвгдзклмнпрст", "аеио"), ("βγδκλμνπρστ", "αειο"))]
+SYLLABLES = [" ".join(c + v for c in cs for v in vs) for cs, vs in (("bdfgklmnprstvz", "aeiou"), ("бвгдзклмнпрст", "аеио"), ("βγδκλμνπρστ", "αειο"))]
 
 #: Attempts after which a surrogate may be longer than its entity: the numbers or
 #: addresses of that length count as used up.
-ROOM = 6
+ROOM = 3
 
 _TITLE = f"(?:{'|'.join(MALE + FEMALE)})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -113,9 +113,9 @@ def _stream(key: str, kind: Column, canonical: Column, attempt: Column) -> Colum
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 512))), 512)
 
 
-def _number(stream: Column, k: int, below: int) -> Column:
+def _number(stream: Column, k: Column, below: Column | int) -> Column:
     """The k-th 16-bit word of the stream, below a bound."""
-    return F.conv(F.substring(stream, 4 * k + 1, 4), 16, 10).cast("int") % below
+    return F.conv(F.substr(stream, 4 * k + 1, F.lit(4)), 16, 10).cast("int") % below
 
 
 def _byte(stream: Column, k: Column) -> Column:
@@ -124,8 +124,7 @@ def _byte(stream: Column, k: Column) -> Column:
 
 def _reshape(text: Column, stream: Column, fixed: Column) -> Column:
     """Every letter and digit after the first `fixed` of them replaced within its
-    script and case; other characters stay. The first digit that is drawn is 2 to
-    9 where `fixed` is more than none."""
+    script and case; other characters stay."""
 
     def at(i: Column) -> Column:
         c = F.substr(text, i, F.lit(1))
@@ -136,7 +135,7 @@ def _reshape(text: Column, stream: Column, fixed: Column) -> Column:
             drawn = F.when(F.lower(c).rlike(accepted), F.when(c == F.lower(c), new).otherwise(F.upper(new))).otherwise(drawn)
         return F.when((nth <= fixed) | ~c.rlike(r"[\p{L}\p{N}]"), c).otherwise(drawn)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), at), "")
+    return F.when(text == "", "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), at), ""))
 
 
 def _digit(text: Column, i: Column) -> Column:
@@ -171,48 +170,50 @@ def _person(canonical: Column, stream: Column, attempt: Column) -> Column:
     """A name of the same gender, script and number of words: a family name, after
     a given one or tied to another if there are two."""
     name = F.substring(canonical, 3, 1 << 20)
-    script = F.when(name.rlike("[а-яё]"), 1).when(name.rlike("[α-ωά-ώ]"), 2).otherwise(0)
-
-    def of(lists: list, k: int) -> Column:
-        words = [x.split() if isinstance(x, str) else x for x in lists]
-        chosen = [F.element_at(F.array(*[F.lit(w) for w in x]), _number(stream, k, len(x)) + 1) for x in words]
-        return F.when(script == 1, chosen[1]).when(script == 2, chosen[2]).otherwise(chosen[0])
-
-    by = lambda table, k: F.when(canonical.startswith("f:"), of(table["f"], k)).otherwise(of(table["m"], k))
-    more = F.array(*[of(SYLLABLES, k) for k in range(4, 12)])
-    family = F.concat(by(FAMILY, 0), F.array_join(F.slice(more, 1, F.least(attempt, F.lit(8))), ""))
-    return F.concat(
-        F.substring(canonical, 1, 2),
-        F.when(name.contains(" "), F.concat(by(GIVEN, 1), F.lit(" "))).when(name.contains("-"), F.concat(by(FAMILY, 2), F.lit("-"))).otherwise(""),
-        family,
-    )
+
+    def words(lists: list[str]) -> Column:
+        latin, cyrillic, greek = (F.split(F.lit(x), " ") for x in lists)  # literals, once they are folded
+        return F.when(name.rlike("[а-яё]"), cyrillic).when(name.rlike("[α-ωά-ώ]"), greek).otherwise(latin)
+
+    def of(table: dict, k: int) -> Column:
+        chosen = F.when(canonical.startswith("f:"), words(table["f"])).otherwise(words(table["m"]))
+        return F.element_at(chosen, _number(stream, F.lit(k), F.size(chosen)) + 1)
+
+    syllables = words(SYLLABLES)
+    more = F.transform(F.sequence(F.lit(4), 3 + F.least(attempt, F.lit(8))), lambda k: F.element_at(syllables, _number(stream, k, F.size(syllables)) + 1))
+    family = F.concat(of(FAMILY, 0), F.when(attempt > 0, F.array_join(more, "")).otherwise(""))
+    before = F.when(name.contains(" "), F.concat(of(GIVEN, 1), F.lit(" "))).when(name.contains("-"), F.concat(of(FAMILY, 2), F.lit("-"))).otherwise("")
+    return F.concat(F.substring(canonical, 1, 2), before, family)
 
 
-def _target(kind: Column, canonical: Column, stream: Column, attempt: Column) -> Column:
-    """The surrogate of an entity, in canonical form but for a name's capitals."""
+def _targets(entities: DataFrame, key: str) -> DataFrame:
+    """entities (kind, canonical, attempt) with their surrogates as `target`: in
+    canonical form, but for a name's capitals."""
+    kind, canonical, attempt, stream, reshaped = (F.col(c) for c in ("kind", "canonical", "attempt", "stream", "reshaped"))
     n = F.length(canonical)
+    zero = canonical.startswith("0")
+    kept = F.greatest(n - 10, zero.cast("int"))  # of a phone number
     last = F.regexp_extract(canonical, r"[^.]+$", 0)  # a mail address keeps its top-level domain
-    mail = F.concat(_reshape(F.substr(canonical, F.lit(1), n - F.length(last)), stream, F.lit(0)), last)
+    base = F.when(kind == "email", F.substr(canonical, F.lit(1), n - F.length(last))).when(~kind.isin("ip", "person", "ssn"), canonical).otherwise("")
+    fixed = F.when(kind == "card", 1).when(kind == "iban", 4).when(kind == "phone", kept).otherwise(0)
+    drawn = entities.withColumn("stream", _stream(key, kind, canonical, attempt)).withColumn("reshaped", _reshape(base, stream, fixed))
     ip = F.concat_ws(".", *[(_byte(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
-    card = F.substr(_reshape(canonical, stream, F.lit(1)), F.lit(1), n - 1)
-    country = F.substring(canonical, 1, 2)
-    account = F.substr(_reshape(canonical, stream, F.lit(4)), F.lit(5), n - 4)
-    security = F.concat(*[F.lpad((_number(stream, k, most) + 1).cast("string"), width, "0") for k, most, width in ((0, 665, 3), (1, 99, 2), (2, 9999, 4))])
-    kept = F.greatest(n - 10, F.when(canonical.startswith("0"), 1).otherwise(0))  # of a phone number
-    phone = _reshape(canonical, stream, kept)
-    first = F.when(canonical.startswith("0"), F.substr(phone, kept + 1, F.lit(1))).otherwise((_byte(stream, kept + 1) % 8 + 2).cast("string"))
-    phone = F.concat(F.substr(phone, F.lit(1), kept), first, F.substr(phone, kept + 2, n))
+    card, account, country = F.substr(reshaped, F.lit(1), n - 1), F.substr(reshaped, F.lit(5), n), F.substring(canonical, 1, 2)
+    security = F.concat(*[F.lpad((_number(stream, F.lit(k), most) + 1).cast("string"), width, "0") for k, most, width in ((0, 665, 3), (1, 99, 2), (2, 9999, 4))])
+    first = F.when(zero, F.substr(reshaped, kept + 1, F.lit(1))).otherwise((_byte(stream, kept + 1) % 8 + 2).cast("string"))
     made = (
-        F.when(kind == "email", mail)
+        F.when(kind == "email", F.concat(reshaped, last))
         .when(kind == "ip", ip)
         .when(kind == "person", _person(canonical, stream, attempt))
         .when(kind == "iban", F.concat(country, _iban_check(country, account), account))
         .when(kind == "ssn", security)
-        .when(kind == "phone", phone)
+        .when(kind == "phone", F.concat(F.substr(reshaped, F.lit(1), kept), first, F.substr(reshaped, kept + 2, n)))
         .otherwise(F.concat(card, _luhn(card)))
     )
     longer = F.translate(F.substr(stream, F.lit(65), 4 * (attempt - ROOM)), "abcdef", "123456")
-    return F.when(attempt > ROOM, F.when(kind == "email", F.concat(longer, made)).when(kind == "ip", F.concat(made, F.lit("."), longer)).otherwise(F.concat(made, longer))).otherwise(made)
+    grown = F.when(kind == "email", F.concat(longer, F.col("made"))).when(kind == "ip", F.concat("made", F.lit("."), longer)).otherwise(F.concat("made", longer))
+    drawn = drawn.withColumn("made", made)
+    return drawn.withColumn("target", F.when(attempt > ROOM, grown).otherwise(F.col("made"))).drop("stream", "reshaped", "made")
 
 
 def _dressed(kind: Column, mention: Column, target: Column) -> Column:
@@ -248,8 +249,7 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     left = entities.select("kind", "canonical").withColumn("attempt", F.lit(0))
     done: DataFrame | None = None
     while True:
-        drawn = left.withColumn("target", _target(kind, canonical, _stream(key, kind, canonical, attempt), attempt))
-        drawn = materialise(drawn.withColumn("taken", same("target")), "pii-drawn")
+        drawn = materialise(_targets(left, key).withColumn("taken", same("target")), "pii-drawn")
         taken = real if done is None else real.unionByName(done.select("kind", "taken"))
         clash = taken.join(drawn.select("kind", "taken"), ["kind", "taken"], "left_semi").distinct().withColumn("clash", F.lit(True))
         first = drawn.groupBy("kind", "taken").agg(F.min("canonical").alias("winner"))
