@@ -11,7 +11,10 @@ and are verified exactly. Three things keep it linear:
   keys. It has at least half of them among the first kind, and is then found as
   a pair, or among the second; its two sets then both have that many keys of the
   second kind, and such sets are tied to the smallest member of each.
-- Pairs and ties only say which sets must meet. Components of candidates are
+- Pairs and ties only say which sets must meet, by components. A component that is
+  larger than a chunk is mostly held together by passages that many texts share;
+  there only sets that also share one of their rarest shingles (a prefix filter:
+  linked sets do) stay together. What is left is
   dealt out in chunks of bounded size. The sets of a chunk meet first, then one
   set of each group that these found, over the chunks; only where a component
   isn't one group by then do its chunks meet two by two, without those that are
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_segments as J
@@ -40,6 +43,8 @@ from lodestone.llm.components import components
 FEW = 12
 #: Keys that a task holds before it sends them, or passes on what many share.
 HELD = 500_000
+#: Pairs that a task adds up before it passes them on.
+PAIRS = 200_000
 #: Names of classes that a task remembers not to send their keys again.
 SEEN = 200_000
 #: Shingles in a chunk of a component of candidates, about; every set counts as
@@ -123,6 +128,12 @@ def _distinct(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, classes, starts, np.diff(np.r_[starts, len(keys)])
 
 
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs once each, with the sum of their counts."""
+    found, at = np.unique(np.rec.fromarrays([a, b], names="a,b"), return_inverse=True)
+    return found["a"], found["b"], np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
+
+
 def _pairs(classes: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, count) of the pairs under keys of 2 to FEW classes."""
     a, b, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -134,10 +145,7 @@ def _pairs(classes: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.
                 a.append(classes[own + i])
                 b.append(classes[own + j])
                 n.append(weight)
-    pairs = np.rec.fromarrays([np.concatenate(a), np.concatenate(b)], names="a,b")
-    found, at = np.unique(pairs, return_inverse=True)
-    count = np.bincount(at, weights=np.concatenate(n), minlength=len(found)).astype(np.int64)
-    return found["a"], found["b"], count
+    return _summed(np.concatenate(a), np.concatenate(b), np.concatenate(n))
 
 
 def shared_in(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,13 +200,22 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             odd = (key[some] & np.uint64(1)).astype(np.int64)
             yield _batch(_REDUCED, len(odd), kind=np.full(len(odd), _MEMBER), a=key[some].view(np.int64), b=member[some], n=odd * _SURE)
 
+    def passed(found: list) -> Iterator[pa.RecordBatch]:
+        if found:
+            a, b, n = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            for at in range(0, len(a), 50_000):
+                some = slice(at, at + 50_000)
+                yield _batch(_REDUCED, len(a[some]), kind=np.full(len(a[some]), _PAIR), a=a[some], b=b[some], n=n[some])
+            found.clear()
+
     def ended(bucket: Bucket) -> Iterator[pa.RecordBatch]:
-        a, b, n, key, member = bucket.end()
-        for at in range(0, len(a), 50_000):
-            some = slice(at, at + 50_000)
-            yield _batch(_REDUCED, len(a[some]), kind=np.full(len(a[some]), _PAIR), a=a[some], b=b[some], n=n[some])
+        *pairs, key, member = bucket.end()
+        found.append(pairs)
+        if sum(len(x[0]) for x in found) > PAIRS:
+            yield from passed(found)
         yield from members(key, member)
 
+    found: list[list[np.ndarray]] = []
     number, bucket = None, None
     for batch in batches:
         is_doc = np.array(batch["kind"].to_numpy() == _DOC)
@@ -215,6 +232,7 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from members(*bucket.add(raw[: len(raw) // 2], raw[len(raw) // 2 :].view(np.int64)))
     if bucket is not None:
         yield from ended(bucket)
+    yield from passed(found)
 
 
 def _allotment(size: Column) -> Column:
@@ -250,7 +268,8 @@ def _candidates(found: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = pairs.where(near).select("a", "b")
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), "n")
     often = members.groupBy("id").agg(F.sum(F.greatest("n", F.lit(1))).alias("n")).join(size, "id")
-    enough = often.where(F.col("n") >= _half(least_shared(F.col("size")))).select("id")
+    least = least_shared(F.col("size"))  # those of the second kind that are left if the first are too few
+    enough = often.where(F.col("n") >= least - _half(least) + 1).select("id")
     tied = members.select("key", "id").join(enough, "id")
     first = tied.groupBy("key").agg(F.min("id").alias("first"))
     ties = tied.join(first, "key").select(F.col("first").alias("a"), F.col("id").alias("b"))
@@ -282,42 +301,83 @@ def _links(group: pa.Table) -> pa.Table:
     return pa.table({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
 
-def _met(docs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """Links (a, b) among the sets that meet. dealt: id, doc, mark, label, i, j;
-    sets of one mark are connected."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, id, elements of the sets of wanted (doc), and of some others."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    used = dealt.select(bucket("doc").alias("bucket")).distinct()  # BUCKETS rows at most
+    used = wanted.select(bucket("doc").alias("bucket")).distinct()  # BUCKETS rows at most
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY)).alias("doc"), whole_text().alias("text"))
     texts = texts.withColumn("bucket", bucket("doc")).join(F.broadcast(used), "bucket", "left_semi").select("doc", "text")
-    sets = map_arrow(texts, _sets, "doc long, id long, elements binary")
-    met = dealt.join(sets, ["id", "doc"]).select("label", "i", "j", "id", "mark", "elements")
+    return map_arrow(texts, _sets, "doc long, id long, elements binary")
+
+
+def _met(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Links (a, b) among the sets that meet. dealt: id, doc, mark, label, i, j;
+    sets of one mark are connected."""
+    met = dealt.join(_texts(docs, dealt), ["id", "doc"]).select("label", "i", "j", "id", "mark", "elements")
     return met.groupBy("label", "i", "j").applyInArrow(_links, "a long, b long")
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 20):
+            part = batch.slice(at, 20)
+            sets = [np.frombuffer(e, np.int64) for e in part["elements"].to_pylist()]
+            often = [len(x) for x in sets]
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            columns = [np.repeat(part[c].to_numpy(), often) for c in ("id", "size")] + [flat]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "size", "e"])
+
+
+def _refined(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """known (id, doc, size, label) with new labels: that of the sets with which a set
+    shares, directly or by others, one of its rarest shingles; other sets go.
+
+    With the shingles of every set in one order, by how many of the sets have them,
+    two linked sets share one of the first size - ceil(4/5 * size) + 1 of each. A set
+    that comes twice has more places, so nothing is lost."""
+    sets = known.select("id", "doc", "size").join(_texts(docs, known), ["id", "doc"]).select("id", "size", "elements")
+    each = materialise(map_arrow(sets, _spread, "id long, size long, e long"), "jaccard-spread")
+    often = each.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("id")
+    alone = F.col("size") - F.count("*").over(own)  # shingles that no other set has come first
+    place = F.row_number().over(own.orderBy("n", "e")) + alone
+    first = each.join(often, "e").select("id", "e", "size", place.alias("place")).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * 4 / 5) + 1)
+    first = materialise(first.select("id", "e"), "jaccard-first")
+    least = first.groupBy("e").agg(F.min("id").alias("a"))
+    label = components(first.join(least, "e").select("a", F.col("id").alias("b")))
+    return known.drop("label").join(label, "id")
+
+
+def _chunked(known: DataFrame) -> DataFrame:
+    chunks = known.groupBy("label").agg(F.ceil(F.sum(F.col("size") + SET) / CHUNK).cast("int").alias("chunks"))
+    return known.join(chunks, "label").select("id", "doc", "size", "label", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("own"))
+
+
 def _verified(docs: DataFrame, meet: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that span what the candidates' links connect. meet: id, label."""
     known = meet.join(classes, "id").select("id", "label", "size", "doc")
-    chunks = known.groupBy("label").agg(F.ceil(F.sum(F.col("size") + SET) / CHUNK).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    dealt = materialise(known.join(chunks, "label").withColumn("own", own), "jaccard-dealt")
+    dealt = materialise(_chunked(known), "jaccard-dealt")
+    several = dealt.where("chunks > 1")
+    large = not several.isEmpty()
+    if large:
+        refined = _chunked(_refined(docs, several.select("id", "label", "size", "doc")))
+        dealt = materialise(dealt.where("chunks = 1").unionByName(refined), "jaccard-dealt")
     alone = dealt.select("id", "doc", F.col("id").alias("mark"), "label", F.col("own").alias("i"), F.col("own").alias("j"))
     links = materialise(_met(docs, alone), "jaccard-links")
     several = dealt.where("chunks > 1")
-    if several.isEmpty():
+    if not large or several.isEmpty():
         return links
     # One set of each group that a chunk found, over the chunks of the component.
     marked = _marked(several, links)
     spoken = marked.groupBy("label", "own", "mark").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "doc", "size"), "size").alias("x")).where("n > 1")
-    spoken = spoken.select("label", "mark", "x.*")
-    parts = spoken.groupBy("label").agg(F.ceil(F.sum(F.col("size") + SET) / CHUNK).cast("int").alias("chunks"))
-    spoken = _two_by_two(spoken.join(parts, "label").withColumn("own", own), within=True)
+    spoken = _two_by_two(_chunked(spoken.select("label", "mark", "x.*")).join(spoken.select("x.id", "mark"), "id"), within=True)
     links = links.unionByName(materialise(_met(docs, spoken), "jaccard-links"))
     # Chunks two by two, where their sets aren't all of one group yet.
     marked = materialise(_marked(several, links), "jaccard-marked")
     held = marked.groupBy("label", "own").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
     whole = held.groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("label")
-    open_ = marked.join(whole, "label", "left_semi")
-    pairs = _two_by_two(open_, within=False)
+    pairs = _two_by_two(marked.join(whole, "label", "left_semi"), within=False)
     first, second = (held.select("label", F.col("own").alias(c), F.col("lo").alias(f"{c}_lo"), F.col("hi").alias(f"{c}_hi")) for c in "ij")
     todo = pairs.select("label", "i", "j").distinct().join(first, ["label", "i"]).join(second, ["label", "j"])
     todo = todo.where("NOT (i_lo = i_hi AND j_lo = j_hi AND i_lo = j_lo)").select("label", "i", "j")
