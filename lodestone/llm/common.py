@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,7 +15,25 @@ from pyspark.sql.types import StructType
 from lodestone.plans.lineage import materialise, shared_dir
 
 
-__all__ = ["documents", "free_names", "group_ranks", "map_arrow", "materialise", "shared_dir", "shuffle_partitions", "whole_text"]
+__all__ = ["documents", "free_names", "group_ranks", "map_arrow", "materialise", "shared_dir", "shuffle_partitions", "tidy", "whole_text"]
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: an idle worker of a pool keeps it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def _tidied(rows: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            tidy()
+
+    return run
 
 
 def map_arrow(df: DataFrame, rows: Callable, schema: StructType | str) -> DataFrame:
@@ -25,7 +45,7 @@ def map_arrow(df: DataFrame, rows: Callable, schema: StructType | str) -> DataFr
     env = df.sparkSession.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
-    return df.mapInArrow(rows, schema)
+    return df.mapInArrow(_tidied(rows), schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_segments as J
-from lodestone.llm.common import free_names, map_arrow, materialise, shuffle_partitions, whole_text
+from lodestone.llm.common import free_names, map_arrow, materialise, shuffle_partitions, tidy, whole_text
 from lodestone.llm.components import components
 
 #: Classes that share a key up to which their pairs are counted.
@@ -51,7 +51,7 @@ SEEN = 200_000
 #: SET more.
 CHUNK, SET = 250_000, 32
 #: Buckets of keys for each shuffle partition.
-SPREAD = 16
+SPREAD = 8
 #: Buckets of document ids by which texts are preselected for verification. The
 #: buckets in use are broadcast: BUCKETS numbers at most.
 BUCKETS = 1 << 19
@@ -298,6 +298,9 @@ def _links(group: pa.Table) -> pa.Table:
     group = group.take(pa.array(at))
     sets = [np.frombuffer(e, np.uint64) for e in group["elements"].to_pylist()]
     links = np.array(J.spanning_links(sets, group["mark"].to_pylist()), np.int64).reshape(-1, 2)
+    if group.nbytes > 1 << 20:
+        del sets, group
+        tidy()
     return pa.table({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
 
