@@ -11,11 +11,10 @@ and are verified exactly. Three things keep it linear:
   keys. It has at least half of them among the first kind, and is then found as
   a pair, or among the second; its two sets then both have that many keys of the
   second kind, and such sets are tied to the smallest member of each.
-- Pairs and ties only say which sets must meet, by components. A component that is
-  larger than a chunk is mostly held together by passages that many texts share;
-  there only sets that also share one of their rarest shingles (a prefix filter:
-  linked sets do) stay together. What is left is
-  dealt out in chunks of bounded size. The sets of a chunk meet first, then one
+- Pairs and ties only say which sets must meet, by components. A large component
+  is mostly held together by passages that many texts share; there only sets that
+  also share one of their rarest shingles (a prefix filter: linked sets do) stay
+  together. What is left is dealt out in chunks of bounded size. The sets of a chunk meet first, then one
   set of each group that these found, over the chunks; only where a component
   isn't one group by then do its chunks meet two by two, without those that are
   of one group. A task compares a set only with sets that it isn't connected
@@ -50,6 +49,8 @@ SEEN = 200_000
 #: Shingles in a chunk of a component of candidates, about; every set counts as
 #: SET more.
 CHUNK, SET = 250_000, 32
+#: Shingles of a component, counted alike, beyond which it is taken apart first.
+LARGE = 1 << 15
 #: Buckets of keys for each shuffle partition.
 SPREAD = 8
 #: Buckets of document ids by which texts are preselected for verification. The
@@ -353,23 +354,22 @@ def _refined(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _chunked(known: DataFrame) -> DataFrame:
-    chunks = known.groupBy("label").agg(F.ceil(F.sum(F.col("size") + SET) / CHUNK).cast("int").alias("chunks"))
-    return known.join(chunks, "label").select("id", "doc", "size", "label", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("own"))
+    chunks = known.groupBy("label").agg(F.sum(F.col("size") + SET).alias("weight")).withColumn("chunks", F.ceil(F.col("weight") / CHUNK).cast("int"))
+    return known.join(chunks, "label").select("id", "doc", "size", "label", "chunks", "weight", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("own"))
 
 
 def _verified(docs: DataFrame, meet: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that span what the candidates' links connect. meet: id, label."""
     known = meet.join(classes, "id").select("id", "label", "size", "doc")
     dealt = materialise(_chunked(known), "jaccard-dealt")
-    several = dealt.where("chunks > 1")
-    large = not several.isEmpty()
-    if large:
-        refined = _chunked(_refined(docs, several.select("id", "label", "size", "doc")))
-        dealt = materialise(dealt.where("chunks = 1").unionByName(refined), "jaccard-dealt")
+    large = dealt.where(F.col("weight") > LARGE)
+    if not large.isEmpty():
+        refined = _chunked(_refined(docs, large.select("id", "label", "size", "doc")))
+        dealt = materialise(dealt.where(F.col("weight") <= LARGE).unionByName(refined), "jaccard-dealt")
     alone = dealt.select("id", "doc", F.col("id").alias("mark"), "label", F.col("own").alias("i"), F.col("own").alias("j"))
     links = materialise(_met(docs, alone), "jaccard-links")
     several = dealt.where("chunks > 1")
-    if not large or several.isEmpty():
+    if several.isEmpty():
         return links
     # One set of each group that a chunk found, over the chunks of the component.
     marked = _marked(several, links)

@@ -116,10 +116,12 @@ def test_links_of_near_copies_and_shared_passages(make):
     _compare(make, [(1000 - k, t, None, None) for k, t in enumerate(texts)])
 
 
-def test_chunks_of_a_component_meet(make, monkeypatch):
+@pytest.mark.parametrize("large", [300, 1 << 40])
+def test_chunks_of_a_component_meet(make, monkeypatch, large):
     """Components in many chunks: groups that the chunks' sets make and that only
     pairs of chunks do, sets that don't link with a passage in common."""
     monkeypatch.setattr(ngram_jaccard, "CHUNK", 900)
+    monkeypatch.setattr(ngram_jaccard, "LARGE", large)
     rng = random.Random(12)
     texts = _near(rng, 60, 60, 3) + _near(rng, 40, 40, 5)
     passage = " ".join(f"p{k}" for k in range(60))
