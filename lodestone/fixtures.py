@@ -88,7 +88,45 @@ VIEWS = {
                CAST(o_custkey % 25 AS BIGINT) AS catalog, CAST(CASE o_orderkey % 4 WHEN 0 THEN o_orderkey - 1 END AS BIGINT) AS depends_on,
                CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'TODO' ELSE 'FAILED' END AS status,
                replace(substr(CAST(o_orderdate AS VARCHAR(40)), 1, 10), '-', '') || '000000' AS last_ts,
-               CASE o_orderkey % 2 WHEN 0 THEN '' ELSE replace(substr(CAST(o_orderdate AS VARCHAR(40)), 1, 10), '-', '') || '000000' END AS next_ts FROM {orders}""",
+               CASE o_orderkey % 2 WHEN 0 THEN '' ELSE replace(substr(CAST(o_orderdate AS VARCHAR(40)), 1, 10), '-', '') || '000000' END AS next_ts,
+               CASE o_custkey % 3 WHEN 0 THEN 'at ' || CAST(o_custkey AS VARCHAR(20)) END AS json, CASE o_custkey % 5 WHEN 0 THEN 'failed' END AS note,
+               CAST(o_custkey % 10 AS BIGINT) AS uid, CAST(CASE o_orderkey % 8 WHEN 0 THEN 3600 END AS BIGINT) AS repeat_after_sec FROM {orders}""",
+    "job_sizes": """
+        SELECT CASE r_regionkey WHEN 0 THEN 'automatch' WHEN 1 THEN 'microsync' WHEN 2 THEN 'aux2wd' WHEN 3 THEN 'feed_sync' ELSE 'update_issues' END AS action,
+               CASE r_regionkey % 3 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'MEDIUM' ELSE 'LARGE' END AS size,
+               CAST(CASE WHEN r_regionkey % 2 = 0 THEN r_regionkey * 100 + 60 END AS BIGINT) AS max_seconds FROM {region}""",
+    "entry_creation": "SELECT CAST(p_partkey AS BIGINT) AS entry_id, '20230' || CAST(p_partkey % 9 + 1 AS VARCHAR(2)) || '01000000' AS ts FROM {part} WHERE p_partkey % 2 = 0",
+    "kv": "SELECT 'feed_' || lower(r_name) AS kv_key, '2024010' || CAST(r_regionkey + 1 AS VARCHAR(2)) || '000000' AS kv_value FROM {region}",
+    "props_todo": """
+        SELECT CAST(200 + n_nationkey AS BIGINT) AS property_num, n_name AS property_name, '' AS default_type,
+               CASE n_nationkey % 3 WHEN 0 THEN 'NO_CATALOG' WHEN 1 THEN 'DONE' ELSE 'BAD' END AS status, '' AS note, CAST(0 AS BIGINT) AS uid,
+               CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 10 END AS BIGINT) AS items_using FROM {nation}""",
+    "property_cache": """
+        SELECT CAST(CASE n_nationkey % 2 WHEN 0 THEN 31 ELSE 17 END AS BIGINT) AS prop_group, CAST(212 + n_regionkey AS BIGINT) AS property,
+               CAST(n_nationkey + 500 AS BIGINT) AS item, lower(n_name) AS label FROM {nation}""",
+    "top_groups": """
+        SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN '' ELSE CAST(s_nationkey AS VARCHAR(9)) || ',1' END AS catalogs,
+               CAST(s_suppkey % 10 AS BIGINT) AS uid, '20240101000000' AS ts, CASE s_suppkey % 3 WHEN 0 THEN 0 ELSE 1 END AS is_current, CAST(0 AS BIGINT) AS based_on FROM {supplier}""",
+    "scripts": """
+        SELECT CAST(n_nationkey AS BIGINT) AS id, CASE n_nationkey % 4 WHEN 0 THEN 'PERSON_DATE' WHEN 1 THEN 'AUX_FROM_DESC' WHEN 2 THEN 'DESC_FROM_HTML' ELSE 'COORDS_FROM_HTML' END AS kind,
+               CAST(floor(n_nationkey / 2) AS BIGINT) AS catalog, CASE n_nationkey % 7 WHEN 0 THEN '' ELSE 'code of ' || lower(n_name) END AS code, CASE n_nationkey % 5 WHEN 0 THEN 0 ELSE 1 END AS is_active,
+               '' AS note, '20240101000000' AS last_run FROM {nation}""",
+    "scrapers": "SELECT CAST(n_nationkey AS BIGINT) AS catalog, 'spec of ' || n_name AS json, CASE n_nationkey % 4 WHEN 0 THEN 'RUNNING' ELSE 'OK' END AS status, CAST(n_regionkey AS BIGINT) AS owner, '' AS last_update FROM {nation}",
+    "update_info": """
+        SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey % 10 AS BIGINT) AS catalog, 'v' || CAST(n_nationkey AS VARCHAR(9)) AS json, '' AS note, CAST(n_regionkey AS BIGINT) AS uid,
+               CASE WHEN n_nationkey >= 15 THEN 1 ELSE 0 END AS is_current FROM {nation}""",
+    "import_file": """
+        SELECT 'u-' || CAST(s_suppkey AS VARCHAR(20)) AS uuid, CAST(s_suppkey % 10 AS BIGINT) AS uid, '20240101000000' AS ts,
+               CASE s_suppkey % 3 WHEN 0 THEN 'CSV' WHEN 1 THEN 'TSV' ELSE 'SSV' END AS type FROM {supplier}""",
+    "feed_sources": "SELECT CAST(n_nationkey * 3 AS BIGINT) AS scraper_id, CAST(n_nationkey AS BIGINT) AS catalog_id, '20240101' AS last_sync FROM {nation}",
+    "given_names": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE n_nationkey % 2 WHEN 0 THEN 'male' ELSE 'female' END AS gender FROM {nation}",
+    "entry_names": "SELECT CAST(p_partkey AS BIGINT) AS entry_id, CAST(p_partkey % 25 AS BIGINT) AS given_name_id, CAST(p_partkey * 7919 % 10007 AS DOUBLE) / 10007 AS random FROM {part} WHERE p_partkey % 2 = 0",
+    "large_report": """
+        SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, CAST(l_partkey % 5 AS BIGINT) AS catalog_id, CAST(200 + l_suppkey % 7 AS BIGINT) AS prop,
+               CASE l_returnflag WHEN 'A' THEN 'DONE' WHEN 'R' THEN 'OPEN' ELSE 'WAIT' END AS status, CASE l_linestatus WHEN 'F' THEN 'MISMATCH' ELSE 'MISSING' END AS type,
+               CASE l_linenumber % 3 WHEN 0 THEN '' ELSE 'User ' || CAST(l_suppkey % 10 AS VARCHAR(9)) END AS user_name,
+               replace(substr(CAST(l_shipdate AS VARCHAR(40)), 1, 10), '-', '') || '000000' AS ts FROM {lineitem}""",
+    "reference_queue": "SELECT CAST(n_nationkey AS BIGINT) AS q, CASE n_nationkey % 3 WHEN 0 THEN 1 ELSE 0 END AS done FROM {nation}",
     "users": """
         SELECT DISTINCT CAST(user_id AS BIGINT) AS id, 'User ' || CAST(user_id AS VARCHAR(20)) AS name, CASE user_id % 10 WHEN 0 THEN 1 ELSE 0 END AS is_catalog_admin FROM {events}""",
     "kb_terms": "SELECT DISTINCT p_name AS text, CAST(p_partkey % 3 + length(p_name) AS BIGINT) AS q, 'en' AS language FROM {part} WHERE p_partkey % 2 = 0 UNION SELECT lower(n_name) || ' ID', CAST(n_nationkey AS BIGINT), 'en' FROM {nation}",
@@ -131,5 +169,5 @@ def prelude(sql: str) -> str:
     texts = [f"{v} AS ({VIEWS[v].format(**{n: n for n in DRIVER})})" for v in used]
     if not used:
         return sql
-    own = re.match(r"\s*WITH (?!RECURSIVE)", sql)
-    return f"WITH {', '.join(texts)}" + (f", {sql[own.end():]}" if own else f" {sql}")
+    own = re.match(r"\s*WITH (RECURSIVE )?", sql)
+    return f"WITH {own and own[1] or ''}{', '.join(texts)}" + (f", {sql[own.end():]}" if own else f" {sql}")

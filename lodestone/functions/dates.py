@@ -51,6 +51,28 @@ def wire_time(column: Column) -> Column:
     return F.concat(sign, F.abs(p["year"]).cast("string"), F.lit("-"), pad(p["month"]), F.lit("-"), pad(p["day"]), F.lit("T00:00:00Z"))
 
 
+_WIRE = "^([+-][0-9]+-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z)/([0-9]+)$"
+
+
+def parse_wire(column: Column) -> Column:
+    """struct(time, precision) of +Y-MM-DDThh:mm:ssZ/p; null without a precision up to 14."""
+    p = F.nullif(F.regexp_extract(column, _WIRE, 2), F.lit("")).try_cast("int")
+    return F.when(p <= 14, F.struct(F.regexp_extract(column, _WIRE, 1).alias("time"), p.alias("precision")))
+
+
+def from_wire(column: Column) -> Column:
+    """The partial date of +Y-MM-DD.../p by its precision: 9 a year, 10 a month, 11 a day."""
+    part = lambda k: F.regexp_extract(column, "^\\+([0-9]+)(?:-([0-9]+))?(?:-([0-9]+))?(?:T[^/]*)?/([0-9]+)$", k)
+    day = F.when(part(4) == "9", part(1)).when(part(4) == "10", F.concat_ws("-", part(1), part(2))).when(part(4) == "11", F.concat_ws("-", part(1), part(2), part(3)))
+    return F.when(parse(day).isNotNull(), canonical(day))
+
+
+def stamp(column: Column) -> Column:
+    """A 14-digit timestamp as RFC 3339 text in UTC; null unless it is one."""
+    t = F.try_to_timestamp(column, F.lit("yyyyMMddHHmmss"))
+    return F.when(column.rlike("^[0-9]{14}$"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+
+
 def year(column: Column) -> Column:
     """The leading year as text, empty without one."""
     return F.regexp_extract(column, "^(-*[0-9]+)", 1)

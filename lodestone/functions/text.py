@@ -60,9 +60,16 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+_COMMON = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": "\u00a0", "amp": "&"}  # amp last: one pass decodes once
+
+
 def decode_entities(column: Column) -> Column:
-    """Only texts with an ampersand leave the JVM's fast path unchanged."""
-    return F.when(column.contains("&"), unescape(column)).otherwise(column)
+    """Common entities are decoded in place; only a text with another one goes to
+    Python. The condition is in the function's argument, as an argument is computed
+    for every row whatever stands around the call."""
+    other = column.rlike(f"&(?!(?:{'|'.join(_COMMON)});)[A-Za-z#]")
+    plain = reduce(lambda c, e: F.replace(c, F.lit(f"&{e[0]};"), F.lit(e[1])), _COMMON.items(), column)
+    return F.coalesce(unescape(F.when(other, column)), plain)
 
 
 def strip_tags(column: Column) -> Column:
@@ -113,6 +120,31 @@ def formatter_to_regex(template: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.regexp_replace(escaped, "^https?", "https?"), F.lit("$1"), F.lit("(.+?)")), F.lit("$"))
 
 
+def new_description(old: Column, parts: Column) -> Column:
+    """The parts before the old description, without tags; the old one alone if
+    there are no parts or they say the same."""
+    joined = F.array_join(parts, "; ")
+    both = F.when(old == "", joined).otherwise(F.concat_ws("; ", joined, old))
+    return F.when((F.size(parts) < 1) | (joined == old), old).otherwise(squeeze(F.regexp_replace(both, "<[^>]*>", " ")))
+
+
+def wiki_link(ext_id: Column, url: Column, formatter: str = "") -> Column:
+    """[url id] by the property's URL pattern, else by the entry's own, else the id."""
+    if formatter:
+        return F.concat(F.lit("["), F.replace(F.lit(formatter), F.lit("$1"), ext_id), F.lit(" "), ext_id, F.lit("]"))
+    return F.when(url != "", F.concat(F.lit("["), url, F.lit(" "), ext_id, F.lit("]"))).otherwise(ext_id)
+
+
+def quoted(column: Column) -> Column:
+    """A text as an SQL literal, quotes doubled."""
+    return F.concat(F.lit("'"), F.replace(column, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def percent(done: Column, total: Column) -> Column:
+    """0 to 100; null without a total."""
+    return F.when(total > 0, F.least(F.greatest(done / total * 100, F.lit(0.0)), F.lit(100.0)))
+
+
 def slug(column: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(column), "[^a-z0-9]+", "_"), "^_|_$", "")
 

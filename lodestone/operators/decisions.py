@@ -93,3 +93,58 @@ def after_match(entry: DataFrame, matched: DataFrame, wd_matches: DataFrame, mul
     status = matched.select(F.col("id").alias("entry_id"), F.lit("UNKNOWN").alias("status")).join(entry.select(F.col("id").alias("entry_id"), "catalog"), "entry_id")
     settled = matched.where("new_uid <> 0").select(F.col("id").alias("entry_id"))
     return upsert(wd_matches, status, ["entry_id"]), multi_match.join(settled, "entry_id", "left_anti")
+
+
+def by_external_id(entry: DataFrame, asked: DataFrame, catalog: int, uid: int) -> tuple[DataFrame, DataFrame]:
+    """(decisions, misses) for asked (ext_id, q) in a catalog."""
+    own = entry.where(F.col("catalog") == catalog).select("ext_id", F.col("id").alias("entry_id"))
+    decided = asked.join(own, "ext_id").select("entry_id", "q", F.lit(uid).cast("long").alias("uid"))
+    return decided, asked.join(own, "ext_id", "left_anti")
+
+
+def parse_suggestions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ext_id, q; bad lines) of lines (value) like `id|Q5`; blank ones count for neither."""
+    rows = lines.select(F.trim("value").alias("value")).where("value <> ''").withColumn("cells", F.split("value", r"\|"))
+    digits = F.regexp_replace(F.col("cells")[1], "[^0-9]", "")
+    good = rows.where(F.size("cells") == 2).select(F.trim(F.col("cells")[0]).alias("ext_id"), F.coalesce(digits.try_cast("bigint"), F.lit(0)).alias("q"))
+    return good, rows.where(F.size("cells") != 2).select("value")
+
+
+def suggest(entry: DataFrame, lines: DataFrame, catalog: int, now: str, overwrite: bool = False) -> DataFrame:
+    """entry with the suggested items as preliminary matches of unmatched entries, or
+    also in place of preliminary ones. Of several for an entry the largest counts."""
+    good, _ = parse_suggestions(lines)
+    best = good.groupBy("ext_id").agg(F.max("q").alias("_q")).withColumn("catalog", F.lit(catalog).cast("long"))
+    open_ = S.not_full() if overwrite else S.unmatched()
+    both = entry.join(best, ["catalog", "ext_id"], "left")
+    new = {"q": F.col("_q"), "uid": F.lit(S.AUTO).cast("long"), "ts": F.lit(now)}
+    return both.select(*[F.when(F.col("_q").isNotNull() & open_, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in entry.columns])
+
+
+def judged(entry: DataFrame, actions: DataFrame, log: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """(entry, log rows) after people judged entries; actions: entry_id, decision, uid.
+    yes confirms the item that is there, no takes it away, n_a says there is none."""
+    asked = actions.join(entry.select(F.col("id").alias("entry_id"), F.col("q").alias("_q")), "entry_id")
+    yes = asked.where("decision = 'yes' AND _q IS NOT NULL").select("entry_id", F.col("_q").alias("q"), "uid")
+    none = asked.where("decision = 'n_a'").select("entry_id", F.lit(-1).cast("long").alias("q"), "uid")
+    written = apply_matches(entry, yes.unionByName(none), log, now)
+    away = asked.where("decision = 'no'").select(F.col("entry_id").alias("id")).distinct().withColumn("_no", F.lit(True))
+    marked = written.join(away, "id", "left").withColumn("_no", F.coalesce("_no", F.lit(False)))
+    out, rows = unmatch(marked, F.col("_no"))
+    return out.select(*entry.columns), rows
+
+
+def remove_item(entry: DataFrame, catalog: int, q: int) -> DataFrame:
+    """A catalog's preliminary matches to an item go."""
+    return unmatch(entry, (F.col("catalog") == catalog) & (F.col("uid") == 0) & (F.col("q") == q))[0]
+
+
+def assign_text(statement_text: DataFrame, auxiliary: DataFrame, entry: DataFrame, catalog: int, prop: int, text: str, q: int) -> tuple[DataFrame, DataFrame]:
+    """(statement_text, auxiliary): an item for a text of a property in a catalog, where
+    none was chosen; its entries get the item as an identifier."""
+    own = entry.where(F.col("catalog") == catalog).select(F.col("id").alias("entry_id")).withColumn("_own", F.lit(True))
+    here = F.coalesce("_own", F.lit(False)) & (F.col("property") == prop) & (F.col("text") == text)
+    marked = statement_text.join(own, "entry_id", "left")
+    texts = marked.withColumn("q", F.when(here & F.col("q").isNull(), q).otherwise(F.col("q"))).withColumn("_hit", here & (F.col("q") == q))
+    noted = texts.where("_hit").select("entry_id", F.lit(prop).cast("long").alias("aux_p"), F.lit(f"Q{q}").alias("aux_name"), F.lit(0).alias("in_wikidata"), F.lit(0).alias("entry_is_matched"))
+    return texts.select(*statement_text.columns), insert_ignore(auxiliary, noted, ["entry_id", "aux_p", "aux_name"])

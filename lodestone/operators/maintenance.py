@@ -91,3 +91,29 @@ def propagate_matched(satellite: DataFrame, entry: DataFrame, flag: str) -> Data
     """The flag of a satellite row says whether its entry is fully matched."""
     full = entry.select(F.col("id").alias("entry_id"), F.coalesce(S.full(), F.lit(False)).cast("int").alias("_full"))
     return satellite.join(full, "entry_id", "left").withColumn(flag, F.coalesce("_full", F.lit(0))).select(*satellite.columns)
+
+
+def drop_flagged(auxiliary: DataFrame, prop: int, flagged: DataFrame) -> DataFrame:
+    """auxiliary without a property's identifiers (value) that a source marks as no one's."""
+    gone = flagged.select(F.col("value").alias("aux_name"), F.lit(prop).cast("long").alias("aux_p")).distinct()
+    return auxiliary.join(gone, ["aux_p", "aux_name"], "left_anti").select(*auxiliary.columns)
+
+
+def undifferentiated(pages: DataFrame, marker: str) -> DataFrame:
+    """value of the identifiers whose page (value, html) has the marker; a page that
+    could not be read flags nothing."""
+    return pages.where(F.coalesce(F.contains("html", F.lit(marker)), F.lit(False))).select("value")
+
+
+def rebuild_negative(overview: DataFrame, recount: DataFrame) -> DataFrame:
+    """overview with a recount of the catalogs in which a count fell below zero."""
+    counts = [c for c in overview.columns if c != "catalog"]
+    wrong = overview.where(" OR ".join(f"{c} < 0" for c in counts)).select("catalog")
+    kept = overview.join(wrong, "catalog", "left_anti")
+    return kept.unionByName(recount.select(*overview.columns).join(wrong, "catalog", "left_semi"))
+
+
+def person_date_jobs(catalogs: DataFrame) -> DataFrame:
+    """The three jobs of catalogs (id) that turn out to have dates."""
+    actions = F.array(*[F.lit(a) for a in ("match_person_dates", "match_on_birthdate", "match_on_deathdate")])
+    return catalogs.select(F.explode(actions).alias("action"), F.col("id").alias("catalog"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import semantics as S
-from lodestone.functions import text
+from lodestone.functions import geo, text
 from lodestone.operators.candidates import AUTHORITIES, active
 
 #: Classes whose items never are the thing itself, as P31 values.
@@ -26,28 +26,40 @@ def one_item(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min("q").alias("q"), F.max("q").alias("other")).where("q = other").drop("other")
 
 
+#: Candidates that matter: an entry with more than ten lists none, see decisions.LISTED.
+ENOUGH = 11
+
+
+def _first_items(terms: DataFrame) -> DataFrame:
+    """text, q: the ENOUGH smallest items of each text. What an entry lists comes from
+    these, so a text of many items that many entries have doesn't multiply."""
+    w = Window.partitionBy("text").orderBy("q")
+    return terms.select("text", "q").distinct().withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= ENOUGH).drop("_rn")
+
+
 def by_label(entry: DataFrame, aliases: DataFrame, terms: DataFrame, claims: DataFrame) -> DataFrame:
     """entry_id, candidates: items with the entry's name or an alias as a term,
-    without meta items, in numeric order."""
+    without meta items, in numeric order; the first ENOUGH of them."""
     open_ = entry.where(S.unmatched())
     names = open_.select("id", F.col("ext_name").alias("text")).unionByName(
         aliases.select(F.col("entry_id").alias("id"), F.col("label").alias("text")).join(open_.select("id"), "id", "left_semi")
     )
-    found = names.distinct().join(terms.select("text", "q").distinct(), "text").join(meta_items(claims), "q", "left_anti")
-    return found.groupBy(F.col("id").alias("entry_id")).agg(F.array_sort(F.collect_set("q")).alias("candidates"))
+    items = _first_items(terms.join(meta_items(claims), "q", "left_anti"))
+    found = names.distinct().join(items, "text")
+    return found.groupBy(F.col("id").alias("entry_id")).agg(F.slice(F.array_sort(F.collect_set("q")), 1, ENOUGH).alias("candidates"))
 
 
 def by_search(entry: DataFrame, aliases: DataFrame, terms: DataFrame) -> DataFrame:
-    """entry_id, candidates: items found by label before those found by alias. Each
-    distinct text is looked up once and the hits fan back out."""
+    """entry_id, candidates: items found by label before those found by alias, the
+    first ENOUGH of them. Each distinct text is looked up once and the hits fan
+    back out."""
     open_ = entry.where(S.unmatched())
     texts = open_.select("id", F.col("ext_name").alias("text"), F.lit(0).alias("rank")).unionByName(
         aliases.join(open_.select(F.col("id").alias("entry_id")), "entry_id", "left_semi").select(F.col("entry_id").alias("id"), F.col("label").alias("text"), F.lit(1).alias("rank"))
     )
-    wanted = texts.select("text").distinct().join(terms, "text").select("text", "q").distinct()
-    hits = texts.join(wanted, "text").groupBy("id", "q").agg(F.min("rank").alias("rank"))
+    hits = texts.join(_first_items(terms), "text").groupBy("id", "q").agg(F.min("rank").alias("rank"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "q"))), lambda x: x["q"])
-    return hits.groupBy(F.col("id").alias("entry_id")).agg(ordered.alias("candidates"))
+    return hits.groupBy(F.col("id").alias("entry_id")).agg(F.slice(ordered, 1, ENOUGH).alias("candidates"))
 
 
 def by_sitelink(entry: DataFrame, catalog: DataFrame, sitelinks: DataFrame, log: DataFrame) -> DataFrame:
@@ -169,26 +181,77 @@ def by_taxon_name(entry: DataFrame, claims: DataFrame) -> DataFrame:
     return names.join(known, "value").groupBy("entry_id").agg(F.array_sort(F.collect_set("q")).alias("candidates"))
 
 
+def _grams(column: str):
+    """The runs of three characters of a text, or the text itself if it is shorter, and
+    then also the shorter runs, which shorter texts ask for."""
+    starts = F.sequence(F.lit(1), F.length(column))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substr(F.col(column), i, F.lit(n)) for n in (1, 2, 3)]))))
+
+
+def _held(inner: DataFrame, outer: DataFrame, part: str, whole: str) -> DataFrame:
+    """Pairs in which `part` is in `whole`. A part is looked up by the rarest of its runs
+    of three characters among the wholes, which any text that holds it has."""
+    spread = outer.select(whole).distinct().select(whole, F.explode(_grams(whole)).alias("run"))
+    often = spread.groupBy("run").agg(F.count("*").alias("n"))
+    asked = inner.select(part).distinct()
+    runs = F.when(F.length(part) < 3, F.array(part)).otherwise(F.filter(_grams(part), lambda x: F.length(x) == 3))
+    rarest = asked.select(part, F.explode(runs).alias("run")).join(often, "run").groupBy(part).agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+    pairs = rarest.join(spread, "run").where(F.contains(whole, part)).select(part, whole)
+    return inner.join(pairs, part).join(outer, whole)
+
+
 def by_containment(entry: DataFrame, labels: DataFrame) -> DataFrame:
     """Items (q, label) whose label is in, or holds, the name of exactly one
-    unmatched entry. A text is only compared with those that hold its first three
-    characters somewhere, by an equi-join on runs of up to three characters."""
+    unmatched entry, regardless of case."""
     names = entry.where(S.unmatched() & (F.col("ext_name") != "")).select(F.col("id").alias("entry_id"), F.lower("ext_name").alias("name"))
     texts = labels.where("label <> ''").select("q", F.lower("label").alias("label"))
-
-    def runs(column: str):
-        starts = F.sequence(F.lit(1), F.length(column))
-        return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substr(F.col(column), i, F.lit(n)) for n in (1, 2, 3)]))))
-
-    inner, outer = names.withColumn("run", F.substring("name", 1, 3)), texts.withColumn("run", F.explode(runs("label")))
-    a = inner.join(outer, "run").where(F.contains("label", "name")).select("entry_id", "q")
-    inner, outer = texts.withColumn("run", F.substring("label", 1, 3)), names.withColumn("run", F.explode(runs("name")))
-    b = inner.join(outer, "run").where(F.contains("name", "label")).select("entry_id", "q")
-    hits = a.unionByName(b).distinct()
+    hits = _held(names, texts, "name", "label").select("entry_id", "q").unionByName(_held(texts, names, "label", "name").select("entry_id", "q"))
     single = hits.groupBy("q").agg(F.min("entry_id").alias("entry_id"), F.max("entry_id").alias("last")).where("entry_id = last")
     return single.select("entry_id", "q")
 
 
+def open_without_removal(entry: DataFrame, log: DataFrame) -> DataFrame:
+    """Unmatched entries that nobody took an item from before."""
+    return entry.where(S.unmatched()).join(removed_before(log), "id", "left_anti")
+
+
+def by_conditions(entry: DataFrame, log: DataFrame, claims: DataFrame, labels: DataFrame, roots: list[tuple[int, int]]) -> DataFrame:
+    """Items that meet a catalog's conditions (property, item) and whose label is in, or
+    holds, the name of exactly one of its open entries; entry_id, candidates."""
+    from lodestone.operators.sync import below_roots
+
+    known = labels.join(below_roots(claims, roots), "q", "left_semi")
+    found = by_containment(open_without_removal(entry, log), known)
+    return found.groupBy("entry_id").agg(F.slice(F.array_sort(F.collect_set("q")), 1, ENOUGH).alias("candidates"))
+
+
+#: Metres within which a place counts as the same, where a catalog doesn't say.
+NEAR = 500.0
+
+
+def by_place(entry: DataFrame, location: DataFrame, kv_catalog: DataFrame, places: DataFrame, farthest: float = 10_000.0) -> tuple[DataFrame, DataFrame]:
+    """(matches, lists): items (places: q, lat, lon, label, a row for each label) near an
+    entry with a label that begins or ends with its name, brackets aside. A single
+    one is a match by location; several are a list for an entry that is unmatched.
+
+    Only catalogs that allow it (allow_location_match = yes) take part, each with
+    its location_distance, at most `farthest` metres."""
+    kv = lambda key: kv_catalog.where(F.col("kv_key") == key).select(F.col("catalog_id").alias("catalog"), F.col("kv_value").alias(key))
+    allowed = kv("allow_location_match").where("allow_location_match = 'yes'").select("catalog")
+    rows = entry.where(S.not_full()).join(allowed, "catalog", "left_semi").join(kv("location_distance"), "catalog", "left")
+    name = F.lower(F.trim(F.substring_index("ext_name", "(", 1)))
+    rows = rows.withColumn("reach", F.coalesce(geo.parse_distance(F.col("location_distance")), F.lit(NEAR))).select("id", "q", name.alias("name"), "reach").where("name <> ''")
+    points = location.select(F.col("entry_id").alias("id"), "lat", "lon").join(rows.select("id"), "id", "left_semi")
+    spots = places.select(F.col("q").alias("other_id"), "lat", "lon").distinct()
+    near = geo.within(points, spots, farthest).join(rows, "id").where("metres <= reach")
+    label = F.lower(F.trim("label"))
+    named = near.join(places.select(F.col("q").alias("other_id"), label.alias("label")).distinct(), "other_id")
+    hits = named.where(F.startswith("label", "name") | F.endswith("label", "name")).select("id", "q", F.col("other_id").alias("item")).distinct()
+    found = hits.groupBy(F.col("id").alias("entry_id"), "q").agg(F.slice(F.array_sort(F.collect_set("item")), 1, ENOUGH).alias("candidates"))
+    matches = found.where("size(candidates) = 1").select("entry_id", F.element_at("candidates", 1).alias("q"), F.lit(S.BY_LOCATION).cast("long").alias("uid"))
+    return matches, found.where("size(candidates) > 1 AND q IS NULL").select("entry_id", "candidates")
+
+
 def by_creator(entry: DataFrame, relation: DataFrame, claims: DataFrame, terms: DataFrame) -> DataFrame:
     """entry_id, candidates: works of a matched creator (properties 50 and 170)
     that have the entry's title, of more than one word, and claim this creator."""

@@ -28,9 +28,10 @@ def sample_key(column: str = "id") -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / float(1 << 30)
 
 
-def sample(df: DataFrame, n: int, start: float = 0.0, column: str = "id") -> DataFrame:
-    """n rows from a place in the fixed random order on."""
-    return df.withColumn("sample", sample_key(column)).where(F.col("sample") >= start).orderBy("sample", column).limit(n).drop("sample")
+def sample(df: DataFrame, n: int, start: float = 0.0, column: str = "id", key: Column | None = None) -> DataFrame:
+    """n rows from a place in the fixed random order on; key is a stored random number."""
+    drawn = df.withColumn("sample", sample_key(column) if key is None else key)
+    return drawn.where(F.col("sample") >= start).orderBy("sample", column).limit(n).drop("sample")
 
 
 def top_missing(entry: DataFrame, catalogs: tuple[int, ...], n: int = 500) -> DataFrame:
@@ -79,11 +80,12 @@ def log_window(log: DataFrame, entry: DataFrame, first: str, last: str) -> DataF
 def statement_groups(statement_text: DataFrame, entry: DataFrame, samples: int = 5) -> DataFrame:
     """Texts of a property that no item was chosen for: how many entries have
     each, and the first few of them."""
+    key = ["catalog", "property", "text"]
     rows = statement_text.where("q IS NULL").join(entry.select(F.col("id").alias("entry_id"), "catalog"), "entry_id")
-    w = Window.partitionBy("catalog", "property", "text").orderBy("entry_id", "id")
-    ranked = rows.withColumn("rn", F.row_number().over(w))
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= samples, F.struct("rn", "entry_id")))), lambda x: x["entry_id"].cast("string")), ",")
-    return ranked.groupBy("catalog", "property", "text").agg(F.count_distinct("entry_id").alias("cnt"), first.alias("samples"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("entry_id", "id"))
+    few = rows.select(*key, "entry_id", nth.alias("rn")).where(F.col("rn") <= samples)  # each task keeps that many of a text
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "entry_id"))), lambda x: x["entry_id"].cast("string")), ",")
+    return rows.groupBy(*key).agg(F.count_distinct("entry_id").alias("cnt")).join(few.groupBy(*key).agg(first.alias("samples")), key)
 
 
 def unmatched_targets(relation: DataFrame, entry: DataFrame, prop: int, limit: int = 25) -> DataFrame:
@@ -173,3 +175,70 @@ def name_variants(names: DataFrame) -> DataFrame:
     join = lambda a, b: F.concat(words[0], F.lit(a), words[1], F.lit(b), words[2])
     variants = F.when(F.size(words) == 3, F.array("name", join("-", " "), join(" ", "-"))).otherwise(F.array("name"))
     return names.select("name", F.explode(variants).alias("variant"))
+
+
+def open_issues(issues: DataFrame, type_: str = "", catalogs: tuple[int, ...] = ()) -> DataFrame:
+    rows = issues.where("status = 'OPEN'")
+    if type_:
+        rows = rows.where(F.col("type") == type_)
+    return rows.where(F.col("catalog").isin(*catalogs)) if catalogs else rows
+
+
+def issue_page(issues: DataFrame, n: int, start: float = 0.0, key: Column | None = None, **wanted) -> DataFrame:
+    """n open issues from a place in the fixed random order on, their JSON as a variant."""
+    return sample(open_issues(issues, **wanted), n, start, key=key).withColumn("payload", F.try_parse_json("json"))
+
+
+def entries_of_item(entry: DataFrame, catalog: DataFrame, q: int, but: tuple[int, ...] = ()) -> DataFrame:
+    rows = active(entry.where(F.col("q") == q), catalog)
+    return rows.where(~F.col("catalog").isin(*but)) if but else rows
+
+
+def random_entry(entry: DataFrame, catalog: DataFrame, mode: str = "", type_: str = "", own: int | None = None, start: float = 0.0, key: Column | None = None) -> DataFrame:
+    """One entry of an active catalog to work on: `prematched`, `no_manual` or unmatched."""
+    wanted = {"prematched": F.col("uid") == 0, "no_manual": S.not_full()}.get(mode, S.unmatched())
+    rows = active(entry, catalog).where(wanted)
+    rows = rows.where(F.col("type") == type_) if type_ else rows
+    rows = rows.where(F.col("catalog") == own) if own is not None else rows
+    late = sample(rows, 1, start, key=key).withColumn("_turn", F.lit(0))
+    again = sample(rows, 1, 0.0, key=key).withColumn("_turn", F.lit(1))  # past the last one it begins anew
+    return late.unionByName(again).orderBy("_turn").limit(1).drop("_turn")
+
+
+def people_batch(entry: DataFrame, entry_names: DataFrame, given_names: DataFrame, gender: str = "", described: bool = False, n: int = 50) -> DataFrame:
+    """Open people with a known given name, in the fixed random order, and how many
+    entries have their name."""
+    rows = entry.where(S.not_full())
+    if described:
+        rows = rows.where("ext_desc <> ''")
+    names = given_names.where(F.col("gender") == gender) if gender else given_names
+    known = entry_names.join(names.select(F.col("id").alias("given_name_id")), "given_name_id", "left_semi")
+    chosen = rows.join(known.select(F.col("entry_id").alias("id"), "random"), "id").orderBy("random", "id").limit(n)
+    often = entry.join(chosen.select("ext_name").distinct(), "ext_name", "left_semi").groupBy("ext_name").agg(F.count("*").alias("name_count"))
+    return chosen.join(often, "ext_name").select("id", "ext_name", "name_count")
+
+
+def to_create(entry: DataFrame, catalog: int) -> DataFrame:
+    """Entries of which a person said that they have no item yet."""
+    return entry.where((F.col("catalog") == catalog) & (F.col("q") == -1) & (F.col("uid") > 0)).select("ext_id", "ext_name", "ext_desc", "ext_url", "type").orderBy("ext_name", "ext_id")
+
+
+def tiles(entry: DataFrame, catalog: DataFrame, n: int, type_: str = "", start: float = 0.0, key: Column | None = None) -> DataFrame:
+    """Preliminary matches to judge one by one, of catalogs with a primary property:
+    what to show of each, and the claim that a yes makes."""
+    own = catalog.where("active = 1 AND wd_prop IS NOT NULL AND wd_qual IS NULL").select(F.col("id").alias("catalog"), "wd_prop", F.col("name").alias("catalog_name"))
+    kind = {"person": F.col("type") == "Q5", "not_person": F.col("type") != "Q5"}.get(type_, F.lit(True))
+    rows = entry.where((F.col("uid") == 0) & (F.col("ext_url") != "") & (F.col("ext_desc") != "") & kind).join(own, "catalog")
+    shown = F.concat("ext_desc", F.lit("\n[from "), "catalog_name", F.lit(" catalog]"))
+    item, prop = F.concat(F.lit("Q"), F.col("q").cast("string")), F.concat(F.lit("P"), F.col("wd_prop").cast("string"))
+    chosen = sample(rows, n, start, key=key)
+    return chosen.select("id", F.col("ext_name").alias("title"), F.col("ext_url").alias("url"), shown.alias("text"), item.alias("item"), prop.alias("property"), F.to_json(F.struct(F.col("ext_id").alias("value"))).alias("claim"))
+
+
+def matched_download(entry: DataFrame, users: DataFrame, catalog: int) -> DataFrame:
+    """A catalog's full matches for a text download, with who made them."""
+    from lodestone.functions.text import scrub_cell
+
+    names = users.select(F.col("id").alias("uid"), F.col("name").alias("username"))
+    rows = entry.where(S.full() & (F.col("catalog") == catalog)).join(names, "uid", "left")
+    return rows.select("q", *[scrub_cell(F.col(c)).alias(c) for c in ("ext_id", "ext_url", "ext_name")], "username")

@@ -14,9 +14,20 @@ def first_of(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def upsert(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows replace those of the same key."""
-    return table.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(table: DataFrame, new: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
+    """New rows replace those of the same key. Of several new rows of a key the first
+    in the order stays; without one, the largest by its other columns in turn."""
+    rest = [F.desc_nulls_last(c) for c in new.columns if c not in key]
+    fresh = first_of(new, key, order or rest or [F.lit(1)])
+    return table.join(fresh.select(*key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def numbered(new: DataFrame, table: DataFrame, order: list, id_: str = "id") -> DataFrame:
+    """New rows with ids that follow the largest of the table, in the order. For
+    tables that people and programs add to row by row: their new rows fit a task."""
+    last = table.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_last"))
+    ranked = new.drop(id_).withColumn("_rn", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(last))  # one row
+    return ranked.withColumn(id_, (F.col("_last") + F.col("_rn")).cast("long")).drop("_last", "_rn")
 
 
 def insert_ignore(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

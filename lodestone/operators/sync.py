@@ -17,14 +17,14 @@ def match_status(entry: DataFrame, catalog: DataFrame, claims: DataFrame, single
     claims of the catalog's property, or N/A without such a property."""
     own = catalog.select(F.col("id").alias("catalog"), "wd_prop", "wd_qual", "active")
     rows = entry.where(S.full()).join(own, "catalog").where("active = 1")
-    values = claims.groupBy("q", F.col("property").alias("wd_prop")).agg(F.collect_set("value").alias("values"))
-    judged = rows.join(values, ["q", "wd_prop"], "left")
-    n = F.coalesce(F.size("values"), F.lit(0))
+    said = claims.select("q", F.col("property").alias("wd_prop"), F.col("value").alias("ext_id"))
+    range_ = said.groupBy("q", "wd_prop").agg(F.min("ext_id").alias("lo"), F.max("ext_id").alias("hi"))
+    judged = rows.join(range_, ["q", "wd_prop"], "left").join(said.distinct().withColumn("there", F.lit(True)), ["q", "wd_prop", "ext_id"], "left")
     status = (
         F.when(F.col("wd_prop").isNull() | F.col("wd_qual").isNotNull(), "N/A")
-        .when(F.col("values").isNull(), "WD_MISSING")
-        .when((n > 1) & F.col("wd_prop").isin(*single_value), "MULTIPLE")
-        .when(F.array_contains("values", F.col("ext_id")), "SAME")
+        .when(F.col("lo").isNull(), "WD_MISSING")
+        .when((F.col("lo") != F.col("hi")) & F.col("wd_prop").isin(*single_value), "MULTIPLE")
+        .when(F.col("there"), "SAME")
         .otherwise("DIFFERENT")
     )
     return judged.select(F.col("id").alias("entry_id"), status.alias("status"))
@@ -37,7 +37,11 @@ def missing_claims(entry: DataFrame, catalog: DataFrame, claims: DataFrame) -> D
     return entry.join(todo, "id", "left_semi").join(own, "catalog").select(F.col("id").alias("entry_id"), "q", F.col("wd_prop").alias("property"), F.col("ext_id").alias("value"))
 
 
-def aux_commands(entry: DataFrame, auxiliary: DataFrame, claims: DataFrame, denied: tuple[int, ...] = (233, 235, 846, 2528, 4511)) -> DataFrame:
+#: Properties that are never written to items.
+DENIED = (233, 235, 846, 2528, 4511)
+
+
+def aux_commands(entry: DataFrame, auxiliary: DataFrame, claims: DataFrame, denied: tuple[int, ...] = DENIED) -> DataFrame:
     """entry_id, q, property, value, action for the identifiers of full matches
     that aren't noted as known: `flag` where the item has this value, `mismatch`
     where another item has it, `multiple` where several have, else `add`, unless
@@ -45,12 +49,12 @@ def aux_commands(entry: DataFrame, auxiliary: DataFrame, claims: DataFrame, deni
     rows = auxiliary.where((F.col("in_wikidata") == 0) & ~F.col("aux_p").isin(*denied))
     matched = entry.where(S.full()).select(F.col("id").alias("entry_id"), "q", "type")
     rows = rows.join(matched, "entry_id").where("NOT (aux_p = 17 AND type = 'Q5')").join(meta_items(claims), "q", "left_anti")
-    holders = claims.groupBy(F.col("property").alias("aux_p"), F.col("value").alias("aux_name")).agg(F.collect_set("q").alias("holders"))
-    has = claims.select("q", F.col("property").alias("aux_p")).distinct().withColumn("has", F.lit(True))
-    judged = rows.join(holders, ["aux_p", "aux_name"], "left").join(has, ["q", "aux_p"], "left")
-    action = (
-        F.when(F.array_contains("holders", F.col("q")), "flag").when(F.size("holders") == 1, "mismatch").when(F.size("holders") > 1, "multiple").when(F.col("has"), "skip").otherwise("add")
-    )
+    said = claims.select("q", F.col("property").alias("aux_p"), F.col("value").alias("aux_name"))
+    holders = said.groupBy("aux_p", "aux_name").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+    own = said.distinct().withColumn("own", F.lit(True))
+    has = said.select("q", "aux_p").distinct().withColumn("has", F.lit(True))
+    judged = rows.join(holders, ["aux_p", "aux_name"], "left").join(own, ["q", "aux_p", "aux_name"], "left").join(has, ["q", "aux_p"], "left")
+    action = F.when(F.col("own"), "flag").when(F.col("lo") == F.col("hi"), "mismatch").when(F.col("lo") < F.col("hi"), "multiple").when(F.col("has"), "skip").otherwise("add")
     return judged.select("entry_id", "q", F.col("aux_p").alias("property"), F.col("aux_name").alias("value"), action.alias("action")).where("action <> 'skip'")
 
 
@@ -182,18 +186,56 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     return claims.groupBy("item", "main", key).agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, limit: int = 50) -> DataFrame:
-    """All q below the roots along edges (q, target_q). Visited nodes are left out
-    of each step, so cycles end."""
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """All q below the roots along edges (q, target_q), however deep. Visited nodes are
+    left out of each step, so cycles end; the steps are folded into one table at
+    every eighth, so the plan stays short."""
     seen = roots.select("q").distinct()
-    front = seen
-    for _ in range(limit):
+    front, step = seen, 0
+    while True:
         below = edges.join(front.withColumnRenamed("q", "target_q"), "target_q", "left_semi").select("q").distinct()
         front = materialise(below.join(seen, "q", "left_anti"), "closure")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
+        seen, step = seen.unionByName(front), step + 1
+        if step % 8 == 0:
+            seen = materialise(seen, "closure")
+
+
+def below_roots(claims: DataFrame, roots: list[tuple[int, int]]) -> DataFrame:
+    """q of the items that meet all (property, item) conditions: instances (31) of the
+    class or one below it (279), places (131) in it at any depth, else the claim itself."""
+    value = F.regexp_extract("value", "^Q([0-9]+)$", 1).try_cast("bigint")
+    said = claims.select("q", "property", value.alias("target_q")).where("target_q IS NOT NULL")
+    edges = lambda p: said.where(F.col("property") == p).select("q", "target_q")
+    out = None
+    for prop, root in roots:
+        start = claims.sparkSession.createDataFrame([(root,)], "q long")
+        if prop == 31:
+            classes = closure(edges(279), start).withColumnRenamed("q", "target_q")
+            found = edges(31).join(classes, "target_q", "left_semi").select("q").distinct()
+        elif prop == 131:
+            found = closure(edges(131), start)
+        else:
+            found = edges(prop).where(F.col("target_q") == root).select("q").distinct()
+        out = found if out is None else out.join(found, "q", "left_semi")
+    return out
+
+
+def overwrite(entry: DataFrame, catalog: DataFrame, claims: DataFrame, id_: int, now: str) -> DataFrame:
+    """entry after the full matches of a catalog took the items that claim their
+    external ids, where these differ: the one rewrite that full matches aren't
+    protected from. The catalog must be active, with a primary property that is
+    claimed at all; of several items that claim an id the largest counts."""
+    own = catalog.where((F.col("id") == id_) & (F.col("active") == 1) & F.col("wd_prop").isNotNull() & F.col("wd_qual").isNull())
+    said = claims.join(own.select(F.col("wd_prop").alias("property")), "property", "left_semi").where("value <> ''")
+    said = said.groupBy(F.trim("value").alias("ext_id")).agg(F.max("q").alias("kb_q"))
+    if said.isEmpty():
+        raise ValueError(f"catalog {id_} has no primary property with claims")
+    both = entry.join(said.withColumn("catalog", F.lit(id_).cast("long")), ["catalog", "ext_id"], "left")
+    hit = S.full() & (F.col("kb_q") != F.col("q"))
+    new = {"q": F.col("kb_q"), "uid": F.lit(S.BY_IDENTIFIER).cast("long"), "ts": F.lit(now)}
+    return both.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in entry.columns])
 
 
 def item_json(entry: DataFrame, aliases: DataFrame, person_dates: DataFrame, auxiliary: DataFrame) -> DataFrame:

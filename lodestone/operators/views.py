@@ -60,7 +60,7 @@ def vw_artist_artwork(t) -> DataFrame:
 def vw_common_names(t) -> DataFrame:
     from lodestone.operators.candidates import common_names
 
-    return common_names(t.entry, t.catalog)
+    return common_names(t.entry, t.catalog).listed()
 
 
 def vw_object_creator(t) -> DataFrame:
@@ -124,6 +124,12 @@ def vw_catalogs_with_possible_dates(t) -> DataFrame:
     return t.catalog.where("active = 1 AND has_person_date NOT IN ('yes', 'no')").join(people, "id", "left_semi").select("id", "name")
 
 
+def vw_catalogs_with_possible_dates_2(t) -> DataFrame:
+    """Catalogs without a flag about dates that have people with dates."""
+    people = t.entry.where("type = 'Q5'").join(t.person_dates.select(F.col("entry_id").alias("id")), "id", "left_semi").select(F.col("catalog").alias("id")).distinct()
+    return t.catalog.where("has_person_date NOT IN ('yes', 'no')").join(people, "id", "left_semi").select("id", "name")
+
+
 def vw_catalogs_for_quick_compare(t) -> DataFrame:
     keys = t.kv_catalog.where("kv_key = 'has_locations' AND kv_value = 'yes'").select(F.col("catalog_id").alias("id"))
     return t.catalog.where("active = 1").join(keys, "id", "left_semi").select("id", "name")

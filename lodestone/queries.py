@@ -6,48 +6,25 @@ SQL for another engine, over the same views.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import semantics as S
-from lodestone.fixtures import Tables, prelude
 from lodestone.functions import dates, geo, text
 from lodestone.operators import candidates, commands, decisions, maintenance, matchers, overview, report, store, sync, views
 from lodestone.plans.entry_query import Download, EntryQuery, Listing, Search
+from lodestone.registry import FULL as _FULL
+from lodestone.registry import ORACLES, QUERIES, csv, query
+from lodestone.registry import PRIMARY as _PRIMARY
+from lodestone.registry import csv_array as _csv_array
 from lodestone.sources import meta_entry, scraper
 from lodestone.streaming import feeds
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
-_FULL = "q > 0 AND uid > 0"
 _OPEN = "(q IS NULL OR uid = 0)"
 _KEY = "lower(rtrim(ext_name))"
 _ACTIVE = "catalog IN (SELECT id FROM catalog WHERE active = 1)"
-_PRIMARY = "active = 1 AND wd_prop IS NOT NULL AND wd_qual IS NULL"
-
-
-
-
-def csv(column: str = "id", where: str = "") -> str:
-    """Sorted distinct numbers as text, as candidates.ids() writes them."""
-    return f"coalesce(array_to_string(list_sort(list(DISTINCT {column}){where}), ','), '')"
-
-
-def query(oracle: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if oracle is not None:
-            ORACLES[f.__name__] = prelude(oracle)
-        return f
-
-    return register
-
-
-def _csv_array(column: str) -> F.Column:
-    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
 
 
 # -- states, overview ---------------------------------------------------------
@@ -152,9 +129,7 @@ def download_table(t):
 
 @query("SELECT e.q, e.ext_id, e.ext_url, e.ext_name, u.name AS username FROM entry e LEFT JOIN users u ON u.id = e.uid WHERE e.q > 0 AND e.uid > 0 AND e.catalog = 5")
 def download_matched(t):
-    users = t.users.select(F.col("id").alias("uid"), F.col("name").alias("username"))
-    rows = t.entry.where(S.full() & (F.col("catalog") == 5)).join(users, "uid", "left")
-    return rows.select("q", *[text.scrub_cell(F.col(c)).alias(c) for c in ("ext_id", "ext_url", "ext_name")], "username")
+    return report.matched_download(t.entry, t.users, 5)
 
 
 @query("""SELECT entry_id FROM auxiliary WHERE aux_p = 214 AND aux_name = 'A3-3' UNION SELECT e.id FROM entry e JOIN catalog c ON c.id = e.catalog AND c.active = 1 AND c.wd_prop = 214 WHERE e.ext_id = 'A3-3'""")
@@ -170,13 +145,13 @@ _PEOPLE = "SELECT e.*, d.year_born, d.year_died, d.born, d.died, lower(rtrim(e.e
 @query(f"""SELECT name, year_born, year_died, count(DISTINCT catalog) AS cnt, {csv()} AS entry_ids FROM ({_PEOPLE}) p WHERE {_ACTIVE} AND type = 'Q5' AND year_born <> '' AND year_died <> ''
            GROUP BY 1, 2, 3 HAVING count(DISTINCT catalog) >= 2 AND max(CASE WHEN {_FULL} THEN 1 ELSE 0 END) = 0""")
 def common_names_dates(t):
-    return candidates.common_names_dates(t.entry, t.catalog, t.person_dates, least=2)
+    return candidates.common_names_dates(t.entry, t.catalog, t.person_dates, least=2).listed()
 
 
 @query(f"""SELECT name, year_born, count(*) AS cnt, {csv()} AS entry_ids FROM ({_PEOPLE}) p WHERE {_ACTIVE} AND q IS NULL AND TRY_CAST(year_born AS INT) < 2030 AND regexp_matches(ext_name, '[^ ] [^ ]')
            GROUP BY 1, 2 HAVING count(*) >= 2""")
 def common_names_birth_year(t):
-    return candidates.common_names_birth_year(t.entry, t.catalog, t.person_dates, least=2, before=2030)
+    return candidates.common_names_birth_year(t.entry, t.catalog, t.person_dates, least=2, before=2030).listed()
 
 
 @query(f"""SELECT {_KEY} AS name, count(DISTINCT catalog) AS cnt, {csv()} AS entry_ids FROM entry WHERE {_ACTIVE} AND q IS NULL AND type = 'Q5'
@@ -184,14 +159,14 @@ def common_names_birth_year(t):
 def common_names_human(t):
     """Every name gets two more words, so that it has the three that the operator asks for."""
     entry = t.entry.withColumn("ext_name", F.concat("ext_name", F.lit(" john smith")))
-    found = candidates.common_names_human(entry, t.catalog, least=2)
+    found = candidates.common_names_human(entry, t.catalog, least=2).listed()
     return found.withColumn("name", F.regexp_replace("name", " john smith$", ""))
 
 
 @query(f"""SELECT {_KEY} AS name, count(DISTINCT catalog) AS cnt, {csv()} AS entry_ids FROM entry WHERE {_ACTIVE} AND q IS NULL AND type = 'Q16521' AND regexp_full_match(ext_name, '[^ ]+ [^ ]+')
            GROUP BY 1 HAVING count(DISTINCT catalog) >= 2""")
 def common_names_taxon(t):
-    return candidates.common_taxa(t.entry, t.catalog, least=2)
+    return candidates.common_taxa(t.entry, t.catalog, least=2).listed()
 
 
 @query(f"""SELECT {_KEY} AS name, count(DISTINCT catalog) AS cnt, {csv()} AS entry_ids FROM entry WHERE {_ACTIVE} AND q IS NULL GROUP BY 1 HAVING count(DISTINCT catalog) BETWEEN 3 AND 6""")
@@ -203,19 +178,19 @@ def vw_common_names(t):
            JOIN entry c ON c.id = r.target_entry_id AND c.q > 0 AND c.uid > 0 WHERE w.catalog IN (SELECT id FROM catalog WHERE active = 1) AND w.q IS NULL AND w.type = 'Q838948'
            GROUP BY 1, 2 HAVING count(DISTINCT w.catalog) >= 2 AND count(DISTINCT w.id) = count(DISTINCT w.ext_url)""")
 def common_names_artwork(t):
-    return candidates.common_artwork(t.entry, t.catalog, t.mnm_relation)
+    return candidates.common_artwork(t.entry, t.catalog, t.mnm_relation).listed()
 
 
 @query(f"""SELECT aux_p, aux_name, count(*) AS cnt, count(*) FILTER (q IS NULL) AS unmatched, {csv('entry_id', ' FILTER (q IS NULL)')} AS entry_ids
            FROM auxiliary a JOIN entry e ON e.id = a.entry_id WHERE aux_p IN (214, 227, 1207, 1273, 244) GROUP BY 1, 2 HAVING count(*) >= 3 AND count(*) FILTER (q IS NULL) > 0""")
 def common_aux(t):
-    return candidates.common_aux(t.auxiliary, t.entry)
+    return candidates.common_aux(t.auxiliary, t.entry).listed()
 
 
 @query(f"""SELECT aux_p, aux_name, count(*) AS cnt, {csv()} AS entry_ids FROM (SELECT e.id, c.wd_prop AS aux_p, e.ext_id AS aux_name, e.q FROM entry e JOIN catalog c ON c.id = e.catalog AND c.{_PRIMARY.replace(' AND ', ' AND c.')}
            UNION ALL SELECT e.id, a.aux_p, a.aux_name, e.q FROM auxiliary a JOIN entry e ON e.id = a.entry_id) x GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) FILTER (q > 0) = 0""")
 def aux_candidates(t):
-    return candidates.aux_candidates(t.auxiliary, t.entry, t.catalog, least=2)
+    return candidates.aux_candidates(t.auxiliary, t.entry, t.catalog, least=2).listed()
 
 
 @query(f"""SELECT DISTINCT r.entry_id, r.property AS aux_p, 'Q' || CAST(e.q AS VARCHAR) AS aux_name FROM mnm_relation r JOIN entry e ON e.id = r.target_entry_id AND e.{_FULL.replace('uid', 'e.uid')}
@@ -226,7 +201,7 @@ def relations_as_aux(t):
 
 @query(f"""SELECT aux_p, aux_name, {csv('entry_id')} AS entry_ids FROM auxiliary WHERE aux_p IN (214, 227, 1207, 1273, 244) GROUP BY 1, 2 HAVING count(*) > 1 AND count(*) > sum(entry_is_matched)""")
 def crossmatch_groups(t):
-    return candidates.crossmatch_groups(t.auxiliary)
+    return candidates.crossmatch_groups(t.auxiliary).listed()
 
 
 _RULES = [("steel", 186, "Q11427", ""), ("^promo", 31, "Q5", "Q5"), ("brand#1[12]", 176, "Q1", "Q16521")]
@@ -244,13 +219,13 @@ def description_rules(t):
 _META = "SELECT q FROM kb_claims WHERE property = 31 AND value IN ('Q4167410', 'Q11266439', 'Q4167836', 'Q13406463', 'Q22808320', 'Q17362920')"
 
 
-@query(f"""SELECT id AS entry_id, array_to_string(list_sort(list(DISTINCT k.q)), ',') AS candidates FROM (SELECT id, ext_name AS text FROM entry WHERE q IS NULL
+@query(f"""SELECT id AS entry_id, array_to_string(list_slice(list_sort(list(DISTINCT k.q)), 1, 11), ',') AS candidates FROM (SELECT id, ext_name AS text FROM entry WHERE q IS NULL
            UNION SELECT e.id, a.label FROM aliases a JOIN entry e ON e.id = a.entry_id WHERE e.q IS NULL) n JOIN kb_terms k ON k.text = n.text WHERE k.q NOT IN ({_META}) GROUP BY id""")
 def automatch_by_label(t):
     return matchers.by_label(t.entry, t.aliases, t.kb_terms, t.kb_claims).withColumn("candidates", _csv_array("candidates"))
 
 
-@query("""SELECT id AS entry_id, array_to_string(list(q ORDER BY rank, q), ',') AS candidates FROM (SELECT n.id, k.q, min(n.rank) AS rank FROM (SELECT id, ext_name AS text, 0 AS rank FROM entry WHERE q IS NULL
+@query("""SELECT id AS entry_id, array_to_string(list_slice(list(q ORDER BY rank, q), 1, 11), ',') AS candidates FROM (SELECT n.id, k.q, min(n.rank) AS rank FROM (SELECT id, ext_name AS text, 0 AS rank FROM entry WHERE q IS NULL
           UNION ALL SELECT e.id, a.label, 1 FROM aliases a JOIN entry e ON e.id = a.entry_id WHERE e.q IS NULL) n JOIN (SELECT DISTINCT text, q FROM kb_terms) k ON k.text = n.text GROUP BY n.id, k.q) h GROUP BY id""")
 def automatch_by_search(t):
     return matchers.by_search(t.entry, t.aliases, t.kb_terms).withColumn("candidates", _csv_array("candidates"))
@@ -358,11 +333,14 @@ def taxon_match(t):
     return matchers.by_taxon_name(t.entry, claims).withColumn("candidates", _csv_array("candidates"))
 
 
-@query("""WITH n AS (SELECT id, q IS NULL AS open, CAST(id AS VARCHAR) || '. ' || ext_name AS name FROM entry), h AS (SELECT DISTINCT l.id AS q, e.id FROM n l JOIN n e ON e.open AND contains('see ' || l.name, e.name))
+@query("""WITH n AS (SELECT id, q, ext_name || ' ' || CAST(id AS VARCHAR) AS name FROM entry), l AS (SELECT id AS q, CASE id % 3 WHEN 0 THEN 'the ' || name WHEN 1 THEN substr(name, 1, length(name) - 1) ELSE name || 's' END AS label FROM n),
+          h AS (SELECT DISTINCT l.q, e.id FROM l JOIN n e ON e.q IS NULL AND (contains(lower(l.label), lower(e.name)) OR contains(lower(e.name), lower(l.label))))
           SELECT min(id) AS entry_id, q FROM h GROUP BY q HAVING count(*) = 1""")
 def containment_match(t):
-    named = t.entry.withColumn("ext_name", F.concat(F.col("id").cast("string"), F.lit(". "), "ext_name"))
-    return matchers.by_containment(named, named.select(F.col("id").alias("q"), F.concat(F.lit("see "), "ext_name").alias("label")))
+    """Names begin with the same few words; a number at the end tells them apart."""
+    named = t.entry.withColumn("ext_name", F.concat("ext_name", F.lit(" "), F.col("id").cast("string")))
+    label = F.when(F.col("id") % 3 == 0, F.concat(F.lit("the "), "ext_name")).when(F.col("id") % 3 == 1, F.substr("ext_name", F.lit(1), F.length("ext_name") - 1)).otherwise(F.concat("ext_name", F.lit("s")))
+    return matchers.by_containment(named, named.select(F.col("id").alias("q"), label.alias("label")))
 
 
 _WORKS = "SELECT CAST(id + 1000 AS BIGINT) AS q, ext_name AS text, 'Q' || CAST(id % 13 + 1 AS VARCHAR(9)) AS value FROM entry"
@@ -905,3 +883,6 @@ def rollup_types(t):
     """An extension: subtotals by catalog and type."""
     rows = t.entry.rollup("catalog", "type").agg(F.count("*").alias("cnt"), F.grouping("type").cast("long").alias("g"), F.grouping("catalog").alias("gc"))
     return rows.where("gc = 0").drop("gc")
+
+
+from lodestone import queries_control, queries_io, queries_match  # noqa: E402, F401  they add theirs

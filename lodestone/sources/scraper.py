@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import clean_html
+from lodestone.functions.text import clean_html, item_from_uri
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,17 @@ class Scraper:
         rows = self.blocks(pages).select("page_id", "block_no", *levels, F.posexplode(found).alias("nth", "groups"))
         return rows.select("page_id", "block_no", "nth", *[self._value(f, levels).alias(n) for n, f in self.fields.items()])
 
+    def analysis(self, pages: DataFrame) -> DataFrame:
+        """page_id, blocks and, for each entry pattern, how many entries it gave."""
+        blocks = self.blocks(pages)
+        open_ = F.lit(True)
+        counts = []
+        for k, (pattern, _) in enumerate(self.rx_entry, 1):
+            here = F.col("block").rlike(pattern)
+            counts.append(F.sum(F.when(open_ & here, F.regexp_count("block", F.lit(pattern))).otherwise(0)).alias(f"rx{k}"))
+            open_ = open_ & ~here
+        return blocks.groupBy("page_id").agg(F.count("*").alias("blocks"), *counts)
+
     def _value(self, f: Field, levels: list[str]) -> Column:
         out = F.lit(f.use)
         out = reduce(lambda c, name: F.replace(c, F.lit(f"$L{name[1:]}"), F.col(name).cast("string")), levels, out)
@@ -69,6 +80,24 @@ def range_level(spark: SparkSession, start: int, end: int, step: int, name: str)
     return spark.range(start, end + 1, step).select(F.col("id").cast("string").alias(name))
 
 
+def follow_level(pages: DataFrame, template: str, pattern: str, name: str) -> DataFrame:
+    """The outer levels with one more, whose keys a page gives: all first groups of the
+    pattern in the page at the template's URL, $1.. standing for the outer keys.
+    pages: url, html and the outer levels' columns."""
+    outer = [c for c in pages.columns if c not in ("url", "html")]
+    url = reduce(lambda c, k: F.replace(c, F.lit(f"${k + 1}"), F.col(outer[k])), range(len(outer)), F.lit(template))
+    found = F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), 1))
+    return pages.where(F.col("url") == url).select(*outer, F.explode(found).alias(name))
+
+
+def wiki_level(answers: DataFrame, name: str) -> DataFrame:
+    """Page titles of a wiki's category or link list; answers: value, its JSON."""
+    schema = "query struct<categorymembers:array<struct<title:string>>,allpages:array<struct<title:string>>>"
+    found = F.from_json("value", schema)["query"]
+    both = F.concat(*[F.coalesce(found[k], F.array()) for k in ("categorymembers", "allpages")])
+    return answers.select(F.explode(both).alias("x")).select(F.replace("x.title", F.lit(" "), F.lit("_")).alias(name)).distinct()
+
+
 def urls(levels: list[DataFrame], template: str) -> DataFrame:
     """All combinations of the levels' keys, as an odometer would run through
     them: a product by definition of the scraper, of lists that it spells out."""
@@ -78,6 +107,20 @@ def urls(levels: list[DataFrame], template: str) -> DataFrame:
     return rows.withColumn("url", url)
 
 
+def label_items(answers: DataFrame) -> DataFrame:
+    """label, q of SPARQL JSON answers (value) with two variables, whichever of them is
+    the URI; rows of other shapes are left out, of equal labels the last counts."""
+    cell = "struct<type:string,value:string>"
+    schema = f"head struct<vars:array<string>>, results struct<bindings:array<map<string,{cell}>>>"
+    rows = answers.select(F.from_json("value", schema).alias("x")).select("x.head.vars", F.posexplode("x.results.bindings").alias("nth", "b"))
+    one, two = (F.element_at("b", F.col("vars")[k]) for k in (0, 1))
+    swapped = (one["type"] == "uri") & (two["type"] == "literal")
+    straight = (two["type"] == "uri") & (one["type"] == "literal")
+    uri, label = F.when(swapped, one["value"]).otherwise(two["value"]), F.when(swapped, two["value"]).otherwise(one["value"])
+    found = rows.where(swapped | straight).select("nth", label.alias("label"), item_from_uri(uri).alias("q")).where("q IS NOT NULL")
+    return found.groupBy("label").agg(F.max_by("q", "nth").alias("q"))
+
+
 def sparql_tsv(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Text lines (value) of a SPARQL TSV answer without its header: <uri> and
     "literal"@lang cells unwrapped."""

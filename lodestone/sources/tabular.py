@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import semantics as S
@@ -44,10 +44,11 @@ class TabularSource:
         rows = spark.read.schema(schema).option("sep", SEPARATORS[self.format]).option("mode", "PERMISSIVE").csv(path)
         first = F.regexp_replace("_c0", "^﻿", "")
         rows = rows.withColumn("_c0", first)
-        if self.skip_rows:  # header rows: the first of each file
-            rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
-            head = rows.where(F.col("_metadata.file_block_start") == 0).orderBy("_at").limit(self.skip_rows).select("_at")
-            rows = rows.join(F.broadcast(head), "_at", "left_anti").drop("_at")
+        if self.skip_rows:  # header rows: the first of each file, in its first block
+            rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+            nth = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+            head = rows.where("_block = 0").select("_file", "_at").withColumn("_nth", nth).where(F.col("_nth") <= self.skip_rows)
+            rows = rows.join(head.select("_at"), "_at", "left_anti").drop("_file", "_block", "_at")
         if self.min_columns > 1:
             rows = rows.where(F.col(f"_c{self.min_columns - 1}").isNotNull())
         return rows
@@ -102,5 +103,19 @@ class TabularSource:
         )
 
     def counts(self, rows: DataFrame) -> DataFrame:
+        """total, with_id, errors: rows that aren't valid UTF-8 are errors and count
+        nowhere else. How many cells a row has is no error."""
         at = self.columns.index("id")
-        return rows.agg(F.count("*").alias("total"), F.count_if(F.coalesce(F.col(f"_c{at}"), F.lit("")) != "").alias("with_id"))
+        bad = F.concat_ws("", *[f"_c{i}" for i in range(len(self.columns))]).contains("\ufffd")
+        return rows.agg(
+            F.count_if(~bad).alias("total"), F.count_if(~bad & (F.trim(F.coalesce(F.col(f"_c{at}"), F.lit(""))) != "")).alias("with_id"), F.count_if(bad).alias("errors")
+        )
+
+
+def preview(spark: SparkSession, path: str, format_: str = "TSV", rows: int = 5) -> DataFrame:
+    """nth, cells of the header (0) and the first rows of a file, before its columns are
+    mapped: a report of rows + 1 lines."""
+    found = spark.read.option("sep", SEPARATORS[format_]).option("mode", "PERMISSIVE").csv(path)
+    cells = F.array(*[F.coalesce(F.regexp_replace(c, "^\ufeff", ""), F.lit("")) for c in found.columns])
+    head = found.withColumn("at", F.monotonically_increasing_id()).select("at", cells.alias("cells")).orderBy("at").limit(rows + 1)
+    return head.select((F.row_number().over(Window.orderBy("at")) - 1).alias("nth"), "cells")

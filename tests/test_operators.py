@@ -1,11 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import decisions, maintenance, matchers, overview, store, sync
+from lodestone.functions import dates, text
+from lodestone.operators import control, decisions, maintenance, matchers, overview, scripts, store, sync
+from lodestone.plans import lineage
 from lodestone.plans.entry_query import Download, EntryQuery, Listing, Search
 from lodestone.schema import TABLES
+from lodestone.sinks import text as sinks
 from lodestone.sources import meta_entry, scraper
-from lodestone.sources.tabular import TabularSource
+from lodestone.sources.tabular import TabularSource, preview
 from lodestone.streaming import feeds
 
 ENTRY = [
@@ -97,6 +100,61 @@ def test_closure_ends_on_cycles(spark):
     assert as_set(sync.closure(edges, spark.createDataFrame([(1,)], "q long")), "q") == {(1,), (2,), (3,)}
 
 
+def test_closure_has_no_depth(spark):
+    edges = spark.range(1, 61).selectExpr("id AS q", "id - 1 AS target_q")
+    assert sync.closure(edges, spark.range(1).selectExpr("id AS q")).count() == 61
+
+
+def test_of_new_rows_with_one_key_one_is_written(spark):
+    old = spark.createDataFrame([(1, 1.0), (5, 5.0)], "entry_id long, lat double")
+    new = spark.createDataFrame([(1, 2.0), (1, 3.0), (1, None), (2, 4.0)], "entry_id long, lat double")
+    assert as_set(store.upsert(old, new, ["entry_id"]), "*") == {(1, 3.0), (2, 4.0), (5, 5.0)}
+    assert as_set(store.upsert(old, new, ["entry_id"], [F.col("lat").asc_nulls_last()]), "*") == {(1, 2.0), (2, 4.0), (5, 5.0)}
+
+
+def test_entities_that_are_rare_go_to_python_and_no_others(spark):
+    rows = spark.createDataFrame([("a &amp; b",), ("&amp;lt; &eacute;&#233;",), ("&lt;x&gt; &quot;&#39;&nbsp;",), ("&amp;lt;",), ("R&D &copy",), (None,), ("",)], "t string")
+    import html
+
+    got = [r[0] for r in rows.select(text.decode_entities(F.col("t"))).collect()]
+    assert got == [r.t and html.unescape(r.t) if r.t is not None else None for r in rows.collect()]
+
+
+def test_scripts(spark, entry):
+    code = "def run(o):\n    setAux(17, o.ext_name)\n    setMatch('Q5')\n    return re_match('([0-9]{4})', o.ext_desc)"
+    result, commands = scripts.dry_run(code, {"id": 1, "ext_name": "N", "ext_desc": "born 1900"})
+    assert result == ["1900"] and [(c["seq"], c["kind"]) for c in commands] == [(0, "setAux"), (1, "setMatch")]
+    with pytest.raises(scripts.TooLong):
+        scripts.dry_run("def run(o):\n    while True:\n        x = 1", {})
+    with pytest.raises(NameError):
+        scripts.dry_run("def run(o):\n    open('x')", {})
+    with pytest.raises(ImportError):
+        scripts.dry_run("import os\ndef run(o):\n    return 1", {})
+    with pytest.raises(SyntaxError):
+        scripts.person_dates(entry, "def run(o", 1)
+    fails = "def run(o):\n    if o.id == 2:\n        return 1 / 0\n    setAux(1, str(o.id))"
+    assert as_set(scripts.commands_from_description(entry, fails, 1), "entry_id", "value") == {(1, "1")}
+    for value in ("1900", "7.3.1920", "3. 1920", "7 March 1920", "März 1920", "May 7, 1920", " some day", "15 août 900"):
+        assert scripts.dp(value) == spark.range(1).select(dates.parse_text(F.lit(value))).first()[0]
+    assert scripts.ml("Gennaio") == "jan" and scripts.clean_html("<p>a&nbsp;&amp; b</p>") == "a & b" and scripts.json_decode("[1]") == [1]
+
+
+def test_a_page_of_a_feed_as_atom(entry, spark):
+    changes = spark.createDataFrame([("remove_q", 7, "20240101120000")], "event string, entry_id long, ts string")
+    page = sinks.changes_feed(changes, entry, "http://x/").collect()
+    xml = sinks.atom(page, "All & more", "http://x/", "2024-01-02T00:00:00+00:00")
+    assert "All &amp; more" in xml and 'Match was removed for "A&amp;amp;B"' in xml and "2024-01-01T12:00:00+00:00" in xml
+
+
+def test_sources_that_answer_with_too_little(spark, entry, catalog, table):
+    with pytest.raises(control.TooFewRows):
+        control.replace_table(entry, 8)
+    with pytest.raises(ValueError):
+        sync.overwrite(entry, catalog, table("kb_claims", [(1, 999, "x")]), 1, "now")
+    with pytest.raises(lineage.NoSharedFolder):
+        lineage.shared_dir(type("S", (), {"conf": {"spark.master": "yarn"}})())
+
+
 def test_claims_merge_by_qualifiers_in_any_order(spark):
     rows = [("i", "m", ["a", "b"], ["r1"]), ("i", "m", ["b", "a"], ["r2", "r1"]), ("i", "m", [], ["r3"])]
     out = sync.merge_claims(spark.createDataFrame(rows, "item string, main string, qualifiers array<string>, refs array<string>"))
@@ -138,7 +196,13 @@ def test_tabular_import(spark, tmp_path):
     one, two = sorted(source.entries(rows).collect(), key=lambda r: r.ext_id)
     assert (one.ext_id, one.ext_url, one.type, one.q, one.uid, one.born, one.died) == ("x1", "http://x/x1", "Q5", 7, 4, "1869", "1961")
     assert {(a.prop_numeric, a.value) for a in one.auxiliary} == {(214, "123"), (213, "0000 1")} and two.ext_desc == "" and two.auxiliary == []
-    assert source.counts(rows).first().asDict() == {"total": 3, "with_id": 2}
+    assert source.counts(rows).first().asDict() == {"total": 3, "with_id": 2, "errors": 0}
+    for k in (1, 2):
+        (tmp_path / f"many{k}.tsv").write_bytes(b"id\tname\n" + f"a{k}\tA\nb{k}\tB\n".encode() + b"\xff\xfe\tC\n")
+    headed = TabularSource(9, ("id", "name"), skip_rows=1).read(spark, str(tmp_path / "many*.tsv"))
+    assert as_set(headed.where("_c1 <> 'C'"), "_c0") == {("a1",), ("b1",), ("a2",), ("b2",)}
+    assert TabularSource(9, ("id", "name")).counts(headed).first().asDict() == {"total": 4, "with_id": 4, "errors": 2}
+    assert preview(spark, str(tmp_path / "t.tsv"), rows=1).first().cells[:2] == ["x1", "Jane Doe"]
     with pytest.raises(ValueError):
         TabularSource(9, ("id", "name", "nonsense"))
     with pytest.raises(ValueError):
@@ -186,4 +250,7 @@ def test_feed_runs_to_its_end_once(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert as_set(out, "catalog", "total", "noq", "manual") == {(1, 1, 0, 1), (2, 1, 1, 0)}
     lines = spark.createDataFrame([('{"item": 5}',), ("{bad",)], "value string")
-    assert feeds.parse_lines(lines, "item long").where("item IS NOT NULL").count() == 1
+    assert as_set(feeds.parse_lines(lines, "item long"), "item") == {(5,)}
+    with pytest.raises(feeds.BadFeed):
+        feeds.parse_lines(lines.where("value LIKE '{bad%'"), "item long")
+    assert feeds.parse_lines(lines.where("false"), "item long").isEmpty()
