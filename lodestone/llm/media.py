@@ -34,21 +34,28 @@ def payload(text: bytes) -> bytes:
 
 
 def store(samples: bytes) -> bytes:
-    """8-bit samples in two logical streams: packets of PACKET samples take turns,
-    and a packet's granule position is where it ends in the whole signal."""
+    """8-bit samples in two logical streams: packets of PACKET samples take turns, and a
+    packet's granule position is how many samples its stream has by its end."""
     out = ogg.Writer()
     for channel, serial in enumerate(_SERIALS):
         out.packet(serial, _HEAD.pack(b"samples8", RATE, channel, len(samples)), 0, flush=True)
+    had = [0, 0]
     for k, at in enumerate(range(0, len(samples), PACKET)):
         part = samples[at : at + PACKET]
-        out.packet(_SERIALS[k % 2], part, at + len(part), flush=k % 32 > 29)
+        had[k % 2] += len(part)
+        out.packet(_SERIALS[k % 2], part, had[k % 2], flush=k % 32 > 29)
     return out.close()
 
 
+def _span(packet: bytes) -> int:
+    """Samples in a packet; a header has none."""
+    return 0 if packet[:8] == b"samples8" and len(packet) == _HEAD.size else len(packet)
+
+
 def load(stored: bytes) -> tuple[bytes, dict]:
     """The samples and what the container says about them. Raises ValueError if a
     page fails its checks or the time line has a gap."""
-    found = ogg.read(stored)
+    found = ogg.read(stored, _span)
     if found.bad or set(found.streams) != set(_SERIALS) or not all(s.ended for s in found.streams.values()):
         raise ValueError(f"damaged container: {found.bad} pages failed")
     streams = [found.streams[s] for s in _SERIALS]
@@ -56,20 +63,19 @@ def load(stored: bytes) -> tuple[bytes, dict]:
     bodies = [s.packets[1:] for s in streams]
     parts = [bodies[k % 2][k // 2] for k in range(sum(map(len, bodies)))]
     samples = b"".join(parts)
-    # A page's granule is where its last packet ends: each stream's must lie on
-    # the time line that the packets make, and the last one at its end.
-    ends = np.cumsum([len(p) for p in parts]).tolist()
-    for k, s in enumerate(streams):
-        own = ends[k::2]
-        last = {g: j for j, g in enumerate(s.ends[1:])}
-        if any(own[j] != g for g, j in last.items()):
+    # Packets follow each other on their stream's time line: each begins where the
+    # one before it ends.
+    for s in streams:
+        if any(end - _span(p) != before for p, end, before in zip(s.packets, s.ends, [0, *s.ends], strict=False)):
             raise ValueError("a granule position is off the time line")
     if len(samples) != total:
         raise ValueError("samples are missing")
+    last = [s.ends[-1] for s in streams]
     return samples, {
         "pages": found.pages,
         "packets": [len(s.packets) for s in streams],
-        "seconds": round(ends[-1] / rate, 6),
+        "ends": [round(e / rate, 6) for e in last],
+        "seconds": round(sum(last) / rate, 6),
     }
 
 

@@ -3,14 +3,17 @@
 Layout as in RFC 3533. `Writer` puts packets of several logical streams into
 pages; `read` verifies every page's checksum and sequence number, takes the
 streams apart by serial number, joins packets over lacing values and page
-borders, and gives each packet its end on the time line from the granule
-positions. A page that fails its checks is reported and not used.
+borders, and derives where each packet ends on its stream's time line: a page's
+granule position is where the last packet that ends on it does, and from there
+the spans of the packets count back. A page that fails its checks is reported
+and not used.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 _HEAD = struct.Struct("<4sBBqIIIB")  # fixed by the format: 27 bytes
@@ -86,7 +89,7 @@ class Stream:
     """A logical stream as read."""
 
     packets: list[bytes] = field(default_factory=list)
-    ends: list[int] = field(default_factory=list)  # granule where a packet's page ends
+    ends: list[int] = field(default_factory=list)  # granule where each packet ends
     pages: int = 0
     next_page: int = 0
     open: bytearray | None = None
@@ -101,7 +104,8 @@ class Container:
     bad: int = 0  # pages with a wrong checksum, bytes between pages, gaps in a stream
 
 
-def read(data: bytes) -> Container:
+def read(data: bytes, span: Callable[[bytes], int] = len) -> Container:
+    """span: how many granules a packet of the codec lasts."""
     out, at = Container(), 0
     while at < len(data):
         if data[at : at + 4] != b"OggS" or at + _HEAD.size > len(data):
@@ -125,17 +129,22 @@ def read(data: bytes) -> Container:
         s.next_page, s.started, s.ended, s.pages = sequence + 1, True, bool(flags & _LAST), s.pages + 1
         out.pages += 1
         part = s.open if flags & _CONTINUED else bytearray()
-        whole, done = body, 0
+        whole, done = body, []
         for value in values:
             if part is not None:
                 part += data[whole : whole + value]
             whole += value
             if value < 255:
                 if part is not None:
-                    s.packets.append(bytes(part))
-                    done += 1
+                    done.append(bytes(part))
                 part = bytearray()
         s.open = part if count and values[-1] == 255 else None
-        s.ends += [granule] * done
+        out.bad += bool(done) != (granule != NO_GRANULE) and bool(values)
+        ends, after = [], granule
+        for packet in reversed(done):
+            ends.append(after)
+            after -= span(packet)
+        s.packets += done
+        s.ends += reversed(ends)
         at = end
     return out

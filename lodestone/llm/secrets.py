@@ -12,6 +12,7 @@ numbers and addresses on the other. What is taken from the corpus is bounded.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -134,27 +135,41 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame) -> np.ndarray:
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_strings: int = SAMPLE_STRINGS) -> np.ndarray:
     """The log ratio log P(random) - log P(ordinary) of each character after two
-    others, as a cube of float32."""
+    others, as a cube of float32. sample_rows and sample_strings bound what of the
+    corpus is labelled: rows, and strings of each label."""
     marked = docs.select("text", F.xxhash64("doc_id").alias("h"), F.monotonically_increasing_id().alias("rid"))
-    chosen = marked.select("h", "rid").orderBy("h", "rid").limit(SAMPLE_ROWS).select("rid")  # short rows only
+    chosen = marked.select("h", "rid").orderBy("h", "rid").limit(sample_rows).select("rid")  # short rows only
     rows = marked.join(F.broadcast(chosen), "rid", "left_semi").select("text")
     strings = map_arrow(rows, _labelled, "string string, label int").distinct()
     found: dict[int, list[str]] = {}
     for label in (0, 1):
-        own = strings.where(F.col("label") == label).orderBy(F.xxhash64("string"), "string").limit(SAMPLE_STRINGS)
+        own = strings.where(F.col("label") == label).orderBy(F.xxhash64("string"), "string").limit(sample_strings)
         found[label] = [r["string"] for r in own.collect()]
-    secret = found[1] + random_strings(max(0, 2 * SAMPLE_STRINGS - len(found[1])))
-    ordinary = found[0] + composed_identifiers(found[0], 2 * SAMPLE_STRINGS)
+    secret = found[1] + random_strings(max(0, 2 * sample_strings - len(found[1])))
+    ordinary = found[0] + composed_identifiers(found[0], 2 * sample_strings)
     return (train(secret) - train(ordinary)).astype(np.float32)
 
 
-def _uncovered(text: str, start: int, end: int, base: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+def covers(base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """The known forms, which may overlap, as spans that don't, in order."""
+    out: list[tuple[int, int]] = []
+    for start, _, end, _ in base:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _uncovered(text: str, start: int, end: int, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """The long parts of a run between the known forms, without the separators
     that stand next to those."""
     at = start
-    for s, _, e, _ in [x for x in base if x[0] < end and start < x[2]] + [(end, 0, end, end)]:
+    first = bisect.bisect_right(covered, start, key=lambda x: x[1])
+    last = bisect.bisect_left(covered, end, lo=first, key=lambda x: x[0])
+    for s, e in [*covered[first:last], (end, end)]:
         lo, hi = at, min(s, end)
         while lo > start and lo < hi and text[lo] in _SEPARATORS:
             lo += 1
@@ -225,8 +240,9 @@ def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets, by start and kind."""
     base = base_spans(text)
     out = [(start, kind, end) for start, kind, end, _ in base]
+    covered = covers(base)
     for m in _RUN.finditer(text):
-        for start, end in _uncovered(text, *m.span(), base):
+        for start, end in _uncovered(text, *m.span(), covered):
             out += [(start + i, 3, start + j) for i, j in random_parts(text[start:end], ratio)]
     return sorted(out)
 
@@ -252,10 +268,11 @@ def _scan(ratio: np.ndarray):
     return rows
 
 
-def scan(docs: DataFrame, ratio: np.ndarray | None = None) -> DataFrame:
+def scan(docs: DataFrame, ratio: np.ndarray | None = None, sample_rows: int = SAMPLE_ROWS, sample_strings: int = SAMPLE_STRINGS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans for every
     row of docs; spans count code points, their ends are exclusive. A span of the
-    Markov models never overlaps one of the known forms.
+    Markov models never overlaps one of the known forms, and runs of fewer than LEAST
+    characters are not judged: they say too little. A long text is scanned whole.
 
     docs needs doc_id and text; other columns are ignored. A null or empty text
     has no spans. Repeated rows come as often as they are there. On an empty
@@ -263,4 +280,4 @@ def scan(docs: DataFrame, ratio: np.ndarray | None = None) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return map_arrow(texts, _scan(fit(texts) if ratio is None else ratio), f"doc_id long, {counts}, base_sha256 string, spans string")
+    return map_arrow(texts, _scan(fit(texts, sample_rows, sample_strings) if ratio is None else ratio), f"doc_id long, {counts}, base_sha256 string, spans string")

@@ -1,5 +1,9 @@
+import random
+import zlib
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -7,12 +11,13 @@ import corpus_pipeline
 from lodestone.llm import mixing, ngram_jaccard, packing
 from lodestone.llm.common import materialise
 from lodestone.llm.queries import QUERIES, tokenizer_path
-from tests.llm.test_language_jaccard import _brute
+from tests.llm.test_language_jaccard import _brute, _set, recognisable
 
 
 def test_stages(spark, docs, awkward, tmp_path):
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
-    known = [(d, t, lang, s) for d, t, lang, s in awkward if t and any(c.isalpha() for c in t)]
+    known = recognisable(docs, awkward)
+    assert len(known) > 100
     one = corpus_pipeline.identify_language(spark, docs, "")
     assert Counter(r.text for r in one.collect()) == Counter(x[1] for x in known)
     last = {}
@@ -25,10 +30,103 @@ def test_stages(spark, docs, awkward, tmp_path):
     assert {r.doc_id for r in three} == want and len(three) == len(want)
 
 
-def test_run_equals_its_stages(spark, docs, tmp_path):
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    whole = corpus_pipeline.run(spark, str(tmp_path))
-    assert {"doc_id", "piece", "sequence_id"} <= set(whole.columns) and whole.where("piece = 0").count() > 50
+def _order_of_sources(counts, block_rows=16):
+    """The sources at each place of the mixture, slot by slot: of the blocks whose
+    release has come the one with the earliest deadline, by exact fractions."""
+    left = {s: -(-n // block_rows) for s, n in counts.items()}
+    rows = dict(counts)
+    target = {s: Fraction(n**0.5) for s, n in counts.items()}
+    out = []
+    while left:
+        total = sum(target[s] for s in left)
+        weight = {s: target[s] / total for s in left}
+        had, t = dict.fromkeys(left, 0), 0
+        while all(had[s] < n for s, n in left.items()):
+            ready = [s for s in left if (had[s] / weight[s]).__floor__() <= t]
+            s = min(ready, key=lambda s: (-((-(had[s] + 1) / weight[s]).__floor__()), -weight[s], s))
+            had[s] += 1
+            take = min(block_rows, rows[s])
+            rows[s] -= take
+            out += [s] * take
+            t += 1
+        left = {s: n - had[s] for s, n in left.items() if n > had[s]}
+    return out
+
+
+def test_run_against_a_plain_version(spark, make, awkward, tmp_path):
+    """Rejection, copies, links, the mixture's sources and the packed tokens by loops."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    base = [" ".join(rng.choices(["der", "the", "and", "une", "la", "casa", "haus", "maison"], k=60)) for _ in range(12)]
+    items = list(awkward)
+    for k, text in enumerate(base):  # near copies, with ids that others have too, and without
+        items += [(3000 + k, text + " a", "en", "near"), (3000 + k, text + " b", "en", "a"), (None, text + " c", "de", None), (3050 + k, text + " a", "en", "b")]
+    items += [(3000, "quite another text of its own that no other row is like at all", "en", "near"), (4000, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)), None, "odd"), (4001, "語", None, "odd")]
+    make(items).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    known = recognisable(make(items), items)
+    assert {4000, 4001} & {x[0] for x in known} == {4001} and len(known) > 150
+    last = {}
+    for x in known:
+        last[x[1]] = max(last.get(x[1], x), x, key=lambda x: (x[0] is not None, x[0] or 0))
+    kept = list(last.values())
+    sets = [_set(t) for _, t, _, _ in kept]
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    chosen = {}
+    for x, g in zip(kept, group, strict=True):
+        chosen.setdefault(g, []).append(x)
+    options = [[x for x in xs if (x[0] is None, x[0] or 0) == min((y[0] is None, y[0] or 0) for y in xs)] for xs in chosen.values()]
+    encode = Tokenizer.from_file(tokenizer_path()).encode
+    tokens = lambda t: [*encode(t, add_special_tokens=False).ids, 2]
+
+    def pieces(doc_id, text):
+        ids = tokens(text)
+        first = len(ids) % 1024 or 1024
+        edges = [0, *range(first, len(ids) + 1, 1024)]
+        return [(doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+
+    got = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in whole)
+    picked = []
+    for xs in options:  # of rows that share the smallest id any may stand for its component
+        fits = [x for x in xs if not Counter(pieces(x[0], x[1])) - got]
+        assert fits, xs
+        got -= Counter(pieces(fits[0][0], fits[0][1]))
+        picked.append(fits[0])
+    assert not got
+    sequences = {}
+    for r in whole:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for rows in sequences.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert sorted(sequences) == list(range(len(sequences)))
+    total = sum(r.length for r in whole)
+    bins = []
+    for n in sorted((r.length for r in whole), reverse=True):  # best fit, longest first
+        k = min((b for b in range(len(bins)) if bins[b] + n <= 1024), key=lambda b: 1024 - bins[b], default=None)
+        bins.append(n) if k is None else bins.__setitem__(k, bins[k] + n)
+    assert -(-total // 1024) <= len(sequences) <= len(bins)
+
+
+def test_run_of_an_empty_table_and_of_one_row(spark, make, tmp_path):
+    make([]).write.parquet(f"{tmp_path}/0/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/0").collect() == []
+    make([(1, "the house and the garden", "en", "a")]).write.parquet(f"{tmp_path}/1/documents.parquet")
+    assert [(r.doc_id, r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, f"{tmp_path}/1").collect()] == [(1, 0, 0)]
+
+
+def test_the_mixture_against_slots_one_by_one(make):
+    items = [(k, f"t{k}", None, "abcdd"[k % 5]) for k in range(700)]
+    rows = mixing.mixed(make(items), position="at").orderBy("at").collect()
+    assert [r.source for r in rows] == _order_of_sources(Counter(s for _, _, _, s in items))
 
 
 @pytest.mark.parametrize("n", range(1, 11))

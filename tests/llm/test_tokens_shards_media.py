@@ -1,6 +1,9 @@
+import bisect
 import hashlib
+import json
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,6 +94,39 @@ def test_one_more_shard_moves_little():
     assert sum(a[k] != b[k] for k in a) < 0.5 * len(keys)  # dealing anew would move 8 of 9
 
 
+def test_shards_against_a_walk_of_single_keys(make):
+    """Every key walks by itself: it asks the node at its arc's end, and node after node
+    clockwise as long as the shard there is full. How many of an arc's keys end up
+    where must agree; which of them do is settled by row."""
+    import xxhash
+
+    rng = random.Random(2)
+    ids = [rng.randrange(10**6) for _ in range(700)] + [17] * 300
+    nodes = sharding.ring(5, 16)
+    arcs = [bisect.bisect_left([p for p, _ in nodes], struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", d), 42)))[0] % sharding.CELLS) % len(nodes) for d in ids]
+    room = [200] * 5
+    got = Counter()
+    queues = {a: [a] * n for a, n in Counter(arcs).items()}
+    while queues:
+        beyond = defaultdict(list)
+        for at in sorted(queues):
+            for arc in queues[at]:
+                shard = nodes[at][1]
+                if room[shard]:
+                    room[shard] -= 1
+                    got[arc, shard] += 1
+                else:
+                    beyond[at].append(arc)
+        queues = defaultdict(list)
+        for at, keys in beyond.items():
+            while not room[nodes[at][1]]:
+                at = (at + 1) % len(nodes)
+            queues[at] += keys
+    of = dict(zip(ids, arcs, strict=True))
+    rows = sharding.shard(make([(d, f"t{k}", None, None) for k, d in enumerate(ids)]).repartition(3), shards=5, virtual_nodes=16).collect()
+    assert Counter((of[r.doc_id], r.shard) for r in rows) == got and set(Counter(r.shard for r in rows).values()) == {200}
+
+
 def _plain_crc(data):
     r = 0
     for byte in data:
@@ -115,6 +151,63 @@ def test_packets_over_pages_and_streams():
         assert found.streams[7 + k % 2].packets[k // 2] == bytes([k]) * n
 
 
+def _plain_read(stored):
+    """A second reader: pages by their fields, packets by their lacing values, one byte at a time."""
+    streams, at = defaultdict(lambda: {"packets": [], "open": b"", "page": []}), 0
+    while at < len(stored):
+        assert stored[at : at + 4] == b"OggS" and stored[at + 4] == 0
+        granule = int.from_bytes(stored[at + 6 : at + 14], "little", signed=True)
+        s = streams[int.from_bytes(stored[at + 14 : at + 18], "little")]
+        assert int.from_bytes(stored[at + 18 : at + 22], "little") == len(s["page"])
+        count = stored[at + 26]
+        table, body = stored[at + 27 : at + 27 + count], at + 27 + count
+        end = body + sum(table)
+        page = bytearray(stored[at:end])
+        page[22:26] = bytes(4)
+        assert _plain_crc(page) == int.from_bytes(stored[at + 22 : at + 26], "little")
+        done = 0
+        for value in table:
+            s["open"] += stored[body : body + value]
+            body += value
+            if value < 255:
+                s["packets"].append(s["open"])
+                s["open"], done = b"", done + 1
+        s["page"].append((granule, done))
+        at = end
+    return streams
+
+
+@pytest.mark.parametrize("n", [1, 5000, 300_000])
+def test_a_second_reader_agrees(n):
+    samples = media.payload(random.Random(n).randbytes(n))
+    stored = media.store(samples)
+    back, facts = media.load(stored)
+    found = list(_plain_read(stored).values())
+    bodies = [s["packets"][1:] for s in found]
+    assert b"".join(bodies[k % 2][k // 2] for k in range(sum(map(len, bodies)))) == samples == back
+    ends = ogg.read(stored, media._span).streams
+    for s, (_, stream) in zip(found, ends.items(), strict=True):
+        total, packets, want = 0, iter(s["packets"]), []
+        for granule, done in s["page"]:
+            for _ in range(done):
+                p = next(packets)
+                total += 0 if not want else len(p)
+                want.append(total)
+            assert granule == (total if done else -1)
+        assert stream.ends == want
+    assert facts["seconds"] == round(len(samples) / media.RATE, 6) and sum(facts["ends"]) == pytest.approx(facts["seconds"], abs=1e-5)
+
+
+def test_a_granule_off_the_time_line_is_found():
+    writer = ogg.Writer()
+    for channel, serial in enumerate(media._SERIALS):
+        writer.packet(serial, media._HEAD.pack(b"samples8", media.RATE, channel, 128), 0, flush=True)
+    writer.packet(media._SERIALS[0], bytes(64), 64)
+    writer.packet(media._SERIALS[1], bytes(64), 65)
+    with pytest.raises(ValueError, match="time line"):
+        media.load(writer.close())
+
+
 @pytest.mark.parametrize("n", [0, 1, 64, 4096, 4097, 70000])
 def test_round_trip_and_damage(n):
     samples = media.payload(random.Random(n).randbytes(n))
@@ -135,6 +228,7 @@ def test_media_column(docs, awkward, empty):
         want[(d, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
     assert len({(r.media_sha256, r.feature) for r in rows}) == len({r.payload_sha256 for r in rows})
+    assert all(json.loads(r.feature)["seconds"] == round(r.payload_bytes / media.RATE, 6) for r in rows)
     assert media.media_column(empty).collect() == []
 
 
