@@ -29,6 +29,49 @@ def test_dedup_matches_grouping(docs, awkward, keep):
         assert next(r for r in rows if r.kept).doc_id == want
 
 
+@pytest.mark.parametrize("partitions, fan_in", [(4, 2), (40, 4), (40, 2)])
+def test_runs_meet_over_several_rounds(spark, make, monkeypatch, partitions, fan_in):
+    """More input partitions than nodes, several rounds and ranges, a key in every run."""
+    monkeypatch.setattr(exact_dedup, "RANGE", 7)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rng = random.Random(partitions)
+        items = [(rng.choice([None, rng.randrange(-500, 500)]), rng.choice(["hot", f"t{rng.randrange(400)}"]), None, None) for _ in range(2500)]
+        entries = exact_dedup.digest_entries(make(items).repartition(90))
+        got = {r.key: (r.keep_id, r.n, r.keep_rid) for r in exact_dedup.merge_runs(entries, "largest", fan_in).collect()}
+        groups = defaultdict(list)
+        for r in entries.collect():
+            groups[r.key].append((r.doc_id, r.rid))
+        assert len(got) == len(groups)
+        for key, rows in groups.items():
+            named = [x for x in rows if x[0] is not None]
+            best = max(x[0] for x in named) if named else None
+            assert got[bytes(key)] == (best, len(rows), min(rid for d, rid in rows if d == best))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1))), max_size=12), min_size=1, max_size=5), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_merging_sorted_runs(lists, largest):
+    runs, rid = [], 0
+    for rows in lists:
+        found = {}
+        for k, d in rows:
+            found.setdefault(k, (d, rid := rid + 1))
+        keys = sorted(found)
+        ids = [found[k][0] for k in keys]
+        columns = ([bytes([k]) * 48 for k in keys], [1] * len(keys), [d is not None for d in ids], [d or 0 for d in ids], [found[k][1] for k in keys], [2] * len(keys))
+        runs.append(exact_dedup.Run(*(np.array(c, t) for c, t in zip(columns, exact_dedup._TYPES, strict=True))))
+    out = exact_dedup.unpack(exact_dedup.merge(list(runs), largest).pack())
+    every = defaultdict(list)
+    for run in runs:
+        for key, _, named, d, rid, n in zip(*run, strict=True):
+            every[bytes(key).ljust(48, b"\0")].append((not named, (-int(d) if largest else int(d)) if named else 0, int(rid)))
+    assert [bytes(k).ljust(48, b"\0") for k in out.key] == sorted(every)
+    assert [(int(n), int(rid)) for n, rid in zip(out.n, out.keep_rid, strict=True)] == [(2 * len(every[k]), min(every[k])[2]) for k in sorted(every)]
+
+
 def test_keep_one_keeps_all_columns(docs, awkward):
     kept = exact_dedup.keep_one(docs, "largest")
     assert kept.columns == docs.columns
