@@ -48,7 +48,7 @@ PAIRS = 200_000
 SEEN = 200_000
 #: Shingles in a chunk of a component of candidates, about; every set counts as
 #: SET more.
-CHUNK, SET = 250_000, 32
+CHUNK, SET = 1_000_000, 32
 #: Shingles of a component, counted alike, beyond which it is taken apart first.
 LARGE = 1 << 15
 #: Buckets of keys for each shuffle partition.
@@ -261,7 +261,7 @@ def _half(n: Column) -> Column:
 
 def _candidates(found: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs and ties between classes that must meet."""
-    size = classes.groupBy("id").agg(F.min("size").alias("size"))
+    size = classes.select("id", "size")  # a row for each class
     sa, sb = size.select(F.col("id").alias("a"), F.col("size").alias("x")), size.select(F.col("id").alias("b"), F.col("size").alias("y"))
     pairs = found.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")).join(sa, "a").join(sb, "b")
     x, y = F.col("x"), F.col("y")

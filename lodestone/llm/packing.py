@@ -25,7 +25,7 @@ from lodestone.llm.common import group_ranks, map_arrow, materialise, whole_text
 from lodestone.llm.packing_plan import plan
 
 #: Encoded words that a worker keeps; at most some 200 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 #: A length up to this share of a sequence is small. A plan is made for each and
 #: the one with the fewest sequences is carried out.

@@ -26,14 +26,14 @@ def labelled(make):
 
 def recognisable(docs, items):
     """The items with a letter that decoding doesn't reject, by the rule itself: long, and
-    the two codewords that lose least are as good as one another."""
+    even the codeword that loses least loses for every bit."""
     model = language_id.train(docs)
 
     def rejected(text):
         f = _plain_trigrams(text)
         margins = sum(model.weights[x].astype(float) for x in f) / len(f)
-        loss = sorted(sum(q * np.logaddexp(0, -c * m) for q, c, m in zip(model.trust, word, margins, strict=True)) for word in model.code)
-        return len(f) >= language_id.LONG and loss[1] - loss[0] < language_id.FIT
+        loss = min(sum(q * np.logaddexp(0, -c * m) for q, c, m in zip(model.trust, word, margins, strict=True)) for word in model.code)
+        return len(f) >= language_id.LONG and loss / sum(model.trust) > language_id.MISFIT
 
     return [x for x in items if x[1] and any(c.isalpha() for c in x[1]) and not rejected(x[1])]
 
