@@ -183,13 +183,15 @@ def _placed(rows: DataFrame, weights: dict[str, float] | None, flatten: float, b
 def mixed(
     docs: DataFrame, weights: dict[str, float] | None = None, flatten: float = 0.5, block_rows: int = 16, position: str | None = None
 ) -> DataFrame:
-    """The rows of docs in the order of the mixture; same columns, and the place
-    in the mixture as `position` if that is given. Every row has its own place,
-    rows that repeat a doc_id or have none like the others."""
+    """The rows of docs in the order of the mixture; same columns. With `position`,
+    each row has its place as that column instead, and the rows aren't sorted: a
+    reader that goes by places needs no order of rows. Every row has its own place,
+    rows that repeat a doc_id or have none like the others; null texts and sources
+    stay as they are, an empty table gives an empty one."""
     rid, at = free_names(docs, "mix_rid", "mix_at")
     numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
     places = _placed(_short(numbered, F.col(rid)), weights, flatten, block_rows)
-    ordered = numbered.join(places.select(F.col("rid").alias(rid), F.col("position").alias(at)), rid).orderBy(at)
+    placed = numbered.join(places.select(F.col("rid").alias(rid), F.col("position").alias(at)), rid)
     if position is None:
-        return ordered.select(*docs.columns)
-    return ordered.select(*[c for c in docs.columns if c != position], F.col(at).alias(position))
+        return placed.orderBy(at).select(*docs.columns)
+    return placed.select(*[c for c in docs.columns if c != position], F.col(at).alias(position))

@@ -452,8 +452,9 @@ def _labelled(docs: DataFrame, rid: Column) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, the one with its smallest doc_id; same
-    columns. Rows without words all stay. Of rows that share that id the first
-    stays, and so it does in a component without ids."""
+    columns. Rows without words, or with a null text, all stay. Of rows that share
+    that id the first stays, and so it does in a component without ids. An empty
+    table gives an empty one."""
     (rid,) = free_names(docs, "jaccard_rid")
     numbered = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "jaccard-docs")
     decided = materialise(_labelled(numbered, F.col(rid)).select("doc_id", "rid", "label"), "jaccard-decided")
