@@ -688,8 +688,8 @@ _METRES = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2),
 @query(f"""SELECT a.entry_id AS id, b.entry_id AS other_id, CAST(round({_METRES} / 1000) AS BIGINT) AS km FROM location a, location b WHERE {_METRES} <= 150000""")
 def spatial_radius_join(t):
     points = t.location.select(F.col("entry_id").alias("id"), "lat", "lon")
-    found = geo.within(points, t.location.withColumnRenamed("entry_id", "other_id"), 150_000)
-    return found.select("id", "other_id", F.round(F.col("metres") / 1000).cast("long").alias("km"))
+    km = F.round(F.col("metres") / 1000).cast("long").alias("km")
+    return geo.within(points, t.location.withColumnRenamed("entry_id", "other_id"), 150_000, measure=km)
 
 
 @query("""SELECT j.id, j.action, j.catalog FROM jobs j WHERE j.status = 'TODO' AND j.action <> 'microsync' AND (j.depends_on IS NULL OR j.depends_on IN (SELECT id FROM jobs WHERE status = 'DONE'))

@@ -2,21 +2,23 @@
 
 import pytest
 
+from lodestone.functions import geo
 from lodestone.operators import matchers
 from lodestone.schema import TABLES
 
 
 @pytest.fixture
 def run(spark):
-    """Rows of a table, and the most rows that a node of its plan gave."""
+    """Rows of a table, and the most rows that a node of its plan gave, of a kind if one is named."""
 
-    def most(node):
+    def most(node, kind):
         metric = node.metrics().get("numOutputRows")
         children = node.children()
-        return max([metric.get().value() if metric.isDefined() else 0, *[most(children.apply(i)) for i in range(children.size())]])
+        own = metric.get().value() if metric.isDefined() and kind in node.nodeName() else 0
+        return max([own, *[most(children.apply(i), kind) for i in range(children.size())]])
 
-    def do(df):
-        return [tuple(r) for r in df.collect()], most(df._jdf.queryExecution().executedPlan())
+    def do(df, kind=""):
+        return [tuple(r) for r in df.collect()], most(df._jdf.queryExecution().executedPlan(), kind)
 
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan whose nodes are all in one tree
     yield do
@@ -67,3 +69,16 @@ def test_containment_finds_what_brute_force_finds_and_broadcasts_no_side(run, ta
     found = matchers.by_containment(spark.read.parquet(f"{tmp_path}/entry"), spark.read.parquet(f"{tmp_path}/labels"))
     assert sorted(run(found)[0]) == sorted(want) and len(want) > 10
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # all joins were, by the size of files
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_points_of_a_spot_are_paired_last(run, spark, monkeypatch, block):
+    monkeypatch.setattr(geo, "BLOCK", block, raising=False)
+    n = 60
+    at = [(k, 10.0, 20.0) for k in range(n)] + [(n, 10.0, 20.01), (n + 1, 50.0, 20.0), (n + 2, None, 20.0)]
+    df = spark.createDataFrame(at, "id long, lat double, lon double")
+    got, most = run(geo.within(df, df.withColumnRenamed("id", "other_id"), 2_000.0), "Join")
+    near = range(n + 1)
+    assert sorted((a, b) for a, b, _ in got) == sorted([(a, b) for a in near for b in near] + [(n + 1, n + 1)])
+    assert {(a, b): round(m) for a, b, m in got}[(0, n)] == 1095
+    assert most < n * n  # pairs of blocks
