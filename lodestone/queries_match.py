@@ -23,7 +23,7 @@ def _labels(t):
 
 @query(f"""WITH l AS (SELECT * FROM ({_LABELS}) x WHERE q % 5 IN (1, 3) AND q % 2 = 0), h AS (SELECT DISTINCT l.q, e.id FROM l JOIN entry e ON e.q IS NULL AND (contains(lower(l.label), lower(e.ext_name)) OR contains(lower(e.ext_name), lower(l.label)))
            WHERE e.id NOT IN (SELECT entry_id FROM log WHERE action = 'remove_q')), s AS (SELECT q, min(id) AS entry_id FROM h GROUP BY q HAVING count(*) = 1)
-           SELECT entry_id, array_to_string(list_slice(list_sort(list(DISTINCT q)), 1, 11), ',') AS candidates FROM s GROUP BY 1""")
+           SELECT entry_id, array_to_string(list_sort(list(DISTINCT q)), ',') AS candidates FROM s GROUP BY 1""")
 def conditions_match(t):
     """Items of class 900 + q % 5, where 901 and 903 are below 950, with an even claim."""
     say = lambda prop, value, where: t.entry.where(where).select(F.col("id").alias("q"), F.lit(prop).cast("long").alias("property"), value.alias("value"))
